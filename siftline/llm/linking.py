@@ -104,6 +104,6 @@ def link(
         rest, near = refine(rest)
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    pairs = x.join(y, apart & near("x", "y")).select(*ordered).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = x.join(y, apart & near("x", "y")).select(*ordered).distinct()
     more = stored(verify(pairs), "links")
     return of if more.isEmpty() else components(edges.union(more))

@@ -20,8 +20,8 @@ from .tables import prepare, small, stored
 
 COMPONENTS, ROWS = 128, 4
 BANDS = COMPONENTS // ROWS
-#: Of 128 two-bit ranks a pair at 0.75 is expected to differ in 24, with a deviation of 4.4.
-MOST_DIFFERENT = 48
+#: Of 128 two-bit ranks a pair at 0.75 is expected to differ in 24, with a deviation of 4.4 at most.
+MOST_DIFFERENT = 44
 
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, p1 long, p2 long, q1 long, q2 long"
 
@@ -102,17 +102,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
 
     def refine(rest: DataFrame) -> tuple[DataFrame, object]:
         """Counts each node's shingles that another node of the open buckets has as well: what a node shares
-        with any of them is no more than that."""
+        with any of them is no more than that. A pair is taken from the least of its common buckets alone."""
         those = rest.select("node").distinct()
         each = elements.join(those, "node", "left_semi").select("node", F.explode("elements").alias("e"))
         common = each.groupBy("e").agg((F.min("node") < F.max("node")).alias("common")).where("common").select("e")
         count = each.join(common, "e", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
         rest = rest.join(count, "node").where(F.lit(100) * F.col("most") >= F.lit(percent) * F.col("at.n"))
-        rest = stored(rest.withColumn("at", F.struct("at.*", "most")).drop("most"), "open")
+        rest = rest.join(first.select(F.col("doc_id").alias("node"), "bands"), "node")
+        rest = stored(rest.withColumn("at", F.struct("at.*", "most", "bands")).drop("most", "bands"), "open")
 
         def sharper(x: str, y: str) -> Column:
             most = F.least(f"{x}.at.most", f"{y}.at.most")
-            return near(x, y) & _similar(most, F.col(f"{x}.at.n"), F.col(f"{y}.at.n"), percent)
+            once = F.array_min(F.array_intersect(f"{x}.at.bands", f"{y}.at.bands")) == F.col(f"{x}.bucket")
+            return near(x, y) & _similar(most, F.col(f"{x}.at.n"), F.col(f"{y}.at.n"), percent) & once
 
         return rest, sharper
 

@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sentencepiece_codec, token_store
 from .near_dedup import near_duplicates
-from .tables import table
+from .sentencepiece_codec import encode_decode
+from .tables import shared_dir, table
+from .token_counts import count_tokens
+
+END_ID = 2
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/siftline/token-store-{uuid.uuid4().hex}"
+    token_store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return token_store.read_digests(spark, path)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return encode_decode(table(spark, sf_dir, "documents"), model, sentencepiece_codec.digests, sentencepiece_codec.DIGESTS)
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_superminhash": op10_superminhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_store": op2_token_store,
+    "op5_token_counts": op5_token_counts,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_superminhash": op10_superminhash,
+}
 ORACLE_SQL: dict[str, str] = {}
