@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec, token_store
+from . import quality, sentencepiece_codec, token_store
 from .near_dedup import near_duplicates
 from .sentencepiece_codec import encode_decode
 from .tables import shared_dir, table
@@ -27,6 +27,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return encode_decode(table(spark, sf_dir, "documents"), model, sentencepiece_codec.digests, sentencepiece_codec.DIGESTS)
@@ -39,6 +43,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op5_token_counts": op5_token_counts,
+    "op7_weak_supervision": op7_weak_supervision,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_superminhash": op10_superminhash,
 }
