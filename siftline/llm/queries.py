@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality, sentencepiece_codec, token_store
+from .html_extract import extract
 from .near_dedup import near_duplicates
 from .sentencepiece_codec import encode_decode
 from .tables import shared_dir, table
@@ -23,6 +24,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,6 +47,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op4_html_extract": op4_html_extract,
     "op5_token_counts": op5_token_counts,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_sentencepiece": op8_sentencepiece,
