@@ -12,6 +12,7 @@ from . import quality, sentencepiece_codec, token_store
 from .html_extract import extract
 from .near_dedup import near_duplicates
 from .sentencepiece_codec import encode_decode
+from .suffix_dedup import repeated_passages
 from .tables import shared_dir, table
 from .token_counts import count_tokens
 
@@ -41,6 +42,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), model, sentencepiece_codec.digests, sentencepiece_codec.DIGESTS)
 
 
+def op9_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_sparse_suffixes": op9_sparse_suffixes,
     "op10_superminhash": op10_superminhash,
 }
 ORACLE_SQL: dict[str, str] = {}
