@@ -7,16 +7,26 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality, sentencepiece_codec, token_store
+from .decontaminate import leaks
 from .html_extract import extract
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .sentencepiece_codec import encode_decode
+from .pii import pseudonymise
 from .suffix_dedup import repeated_passages
 from .tables import shared_dir, table
 from .token_counts import count_tokens
 
 END_ID = 2
+#: Stands in for the secret that a real run would pass.
+KEY = "siftline"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), KEY)
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +35,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("t1")
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -33,6 +47,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    return docs.select("doc_id", "n_lines", "n_removed", "removed", "emptied", kept)
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -51,9 +71,12 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op2_token_store": op2_token_store,
+    "op3_templates": op3_templates,
     "op4_html_extract": op4_html_extract,
     "op5_token_counts": op5_token_counts,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sparse_suffixes": op9_sparse_suffixes,
