@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import prepare, shared_dir, small, stored
+from .tables import prepare, shared_dir, stored
 from .tokenization import file_digest, load
 
 CACHE = "tokenizer string, content binary, n_tokens long"
@@ -54,7 +54,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     docs = docs.withColumn("content", F.unhex(F.sha2("text", 256)))
     narrow = stored(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "digests")
     misses = narrow.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(cached_counts(spark, cache, version), "content", "left_anti")
-    misses = small(stored(misses, "misses")).alias("m")
+    misses = stored(misses, "misses").alias("m")
     d = docs.alias("d")
     todo = d.join(misses, (F.col("d.content") == F.col("m.content")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left_semi")
     new = todo.select("content", "text").mapInArrow(partial(_count, tokenizer=tokenizer), "content binary, n_tokens long")
