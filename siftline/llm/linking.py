@@ -6,7 +6,7 @@ bucket to one task:
 1. each bucket's hub (its member that shares most buckets with others) is compared with all members;
 2. components of the verified links are found;
 3. only buckets that still hold more than one component are looked at again, and there only pairs from
-   different components that pass every cheap necessary condition are verified.
+   different components that can still be linked are verified.
 
 A link that step 3 skips joins two nodes of one component, so the components are those of all links
 between bucket partners."""
@@ -78,17 +78,18 @@ def link(
     members: DataFrame,
     near: Near,
     verify: Callable[[DataFrame], DataFrame],
-    refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None,
+    apart: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) of the nodes with a verified link.
 
     members: bucket, node, size (of the bucket) and a struct ``at`` with what ``near`` needs, one row
     for each node of a bucket. near("x", "y"): a necessary condition for a link between rows with these
-    aliases. verify: keeps the linked ones of distinct pairs (a, b), a < b. refine: adds to ``at`` of the members of
-    open buckets, and gives a sharper condition."""
+    aliases. verify: keeps the linked ones of distinct pairs (a, b), a < b. apart: distinct pairs of different components
+    that may be linked, from the members of open buckets with their component, their bucket's hub
+    and the hub's component; without it all pairs of a bucket that ``near`` lets pass."""
     hubs = members.groupBy("node").agg(F.sum("size").alias("hub"))
     centre = members.join(hubs, "node").groupBy("bucket").agg(F.max(F.struct("hub", -F.col("node"), "node", "at")).alias("c"))
-    centre = centre.select("bucket", F.col("c.node").alias("node"), F.col("c.at").alias("at"))
+    centre = stored(centre.select("bucket", F.col("c.node").alias("node"), F.col("c.at").alias("at")), "hubs")
     x, y = members.alias("x"), centre.alias("y")
     ordered = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     stars = stored(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") != F.col("y.node")) & near("x", "y")).select(*ordered).distinct(), "pairs")
@@ -100,10 +101,12 @@ def link(
     rest = stored(now.join(open_, "bucket", "left_semi"), "open")
     if rest.isEmpty():
         return of
-    if refine:
-        rest, near = refine(rest)
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    pairs = x.join(y, apart & near("x", "y")).select(*ordered).distinct()
-    more = stored(verify(pairs), "links")
+    if apart:
+        named = centre.join(of, "node", "left").select("bucket", F.col("node").alias("hub"), F.coalesce("component", "node").alias("hub_component"))
+        pairs = apart(rest.join(named, "bucket"))
+    else:
+        x, y = rest.alias("x"), rest.alias("y")
+        other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+        pairs = x.join(y, other & near("x", "y")).select(*ordered).distinct()
+    more = stored(verify(stored(pairs, "pairs")), "links")
     return of if more.isEmpty() else components(edges.union(more))

@@ -100,25 +100,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
         inter = F.size(F.array_intersect("ea", "eb"))
         return pairs.join(a, "a").join(b, "b").where(_similar(inter, F.size("ea"), F.size("eb"), percent)).select("a", "b").distinct()
 
-    def refine(rest: DataFrame) -> tuple[DataFrame, object]:
-        """Counts each node's shingles that another node of the open buckets has as well: what a node shares
-        with any of them is no more than that. A pair is taken from the least of its common buckets alone."""
-        those = rest.select("node").distinct()
-        each = elements.join(those, "node", "left_semi").select("node", F.explode("elements").alias("e"))
-        common = each.groupBy("e").agg((F.min("node") < F.max("node")).alias("common")).where("common").select("e")
-        count = each.join(common, "e", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
-        rest = rest.join(count, "node").where(F.lit(100) * F.col("most") >= F.lit(percent) * F.col("at.n"))
-        rest = rest.join(first.select(F.col("doc_id").alias("node"), "bands"), "node")
-        rest = stored(rest.withColumn("at", F.struct("at.*", "most", "bands")).drop("most", "bands"), "open")
-
-        def sharper(x: str, y: str) -> Column:
-            most = F.least(f"{x}.at.most", f"{y}.at.most")
-            once = F.array_min(F.array_intersect(f"{x}.at.bands", f"{y}.at.bands")) == F.col(f"{x}.bucket")
-            return near(x, y) & _similar(most, F.col(f"{x}.at.n"), F.col(f"{y}.at.n"), percent) & once
-
-        return rest, sharper
-
-    groups = link(members, near, verify, refine)
+    def apart(rest: DataFrame) -> DataFrame:
+        """Pairs of nodes from different components that can still be linked, found through the elements in which
+        they differ from a hub h that both were compared with. For D(x) = x ^ h, |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|,
+        and a link asks for (100 + percent) |x ^ y| <= (100 - percent) (|x| + |y|). Had x and y a link without common
+        elements of D(x) and D(y), both would have one with h and so one component. So they share an element
+        among the rarest of each: all but the ``t`` - 1 most frequent, if they share ``t`` at least.
+        A hub whose nodes all have another one in common, the largest of each, has no pairs of its own."""
+        lo, hi = 100 - percent, 100 + percent
+        each = rest.select("hub", "node", "component", "at", (F.col("component") == F.col("hub_component")).alias("inside")).dropDuplicates(["hub", "node"])
+        each = stored(each.join(each.groupBy("hub").agg(F.count("*").alias("of")).where("of > 2"), "hub"), "hub-nodes")
+        largest = each.groupBy("node").agg(F.max(F.struct("of", "hub")).alias("top"))
+        covered = each.join(largest, "node").groupBy("hub").agg(F.min("top.hub").alias("lo"), F.max("top.hub").alias("hi")).where("lo = hi and lo <> hub").select("hub")
+        each = each.join(covered, "hub", "left_anti").drop("of")
+        x, h = elements.select("node", F.col("elements").alias("ex")), elements.select(F.col("node").alias("hub"), F.col("elements").alias("eh"))
+        each = each.join(x, "node").join(h, "hub")
+        delta = F.concat(F.array_except("ex", "eh"), F.array_except("eh", "ex"))
+        each = each.withColumn("nh", F.size("eh")).withColumn("delta", delta).drop("ex", "eh").withColumn("d", F.size("delta"))
+        # The other one of a pair has at least -nh / hi * lo more than it may differ, outside the hub's component nh / hi * lo.
+        spare = F.when(F.col("inside"), F.col("nh")).otherwise(-F.col("nh"))
+        t = F.greatest(F.lit(1), F.ceil((hi * F.col("d") - lo * F.col("at.n") + lo * spare) / (2 * hi))).cast("int")
+        each = stored(each.withColumn("t", t).where("t <= d"), "deltas")
+        spread = each.select("hub", "node", F.explode("delta").alias("e"))
+        common = spread.groupBy("hub", "e").agg(F.count("*").alias("f")).where("f > 1")
+        held = spread.join(common, ["hub", "e"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("held"))
+        each = each.drop("delta").join(held, ["hub", "node"]).withColumn("most", F.size("held")).where("most >= t")
+        prefix = F.slice("held", F.lit(1), F.col("most") - F.col("t") + 1)
+        rare = stored(each.withColumn("e", F.explode(F.transform(prefix, lambda v: v["e"]))).drop("held"), "rare")
+        x, y = rare.alias("x"), rare.alias("y")
+        differ = hi * (F.col("x.d") + F.col("y.d") - 2 * F.least("x.most", "y.most")) <= lo * (F.col("x.at.n") + F.col("y.at.n"))
+        met = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.node") < F.col("y.node"))
+        return x.join(y, met & (F.col("x.component") != F.col("y.component")) & differ & near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+    groups = link(members, near, verify, apart)
     component = copies.join(groups, "node", "left").select(*digest, F.coalesce("component", "node").alias("component_id"))
     # Rows that share a doc_id, with different sets, take the least of their components.
     rows = signed.select("doc_id", *digest)
