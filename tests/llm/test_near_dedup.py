@@ -74,3 +74,19 @@ def test_family_of_near_copies(spark, seed):
         rows.append((i, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_families_that_drift(spark, seed):
+    """Each copy is made from an earlier one, so that copies far from the hub are linked with each other."""
+    import random
+
+    rnd, texts = random.Random(seed), [words(100, seed)]
+    while len(texts) < 150:
+        t = list(rnd.choice(texts))
+        for _ in range(rnd.randrange(1, 5)):
+            t[rnd.randrange(len(t))] = f"z{rnd.randrange(10**6)}"
+        texts.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()) == brute(rows)
