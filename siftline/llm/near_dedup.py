@@ -109,10 +109,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
         A hub whose nodes all have another one in common, the largest of each, has no pairs of its own."""
         lo, hi = 100 - percent, 100 + percent
         each = rest.select("hub", "node", "component", "at", (F.col("component") == F.col("hub_component")).alias("inside")).dropDuplicates(["hub", "node"])
-        each = stored(each.join(each.groupBy("hub").agg(F.count("*").alias("of")).where("of > 2"), "hub"), "hub-nodes")
+        each = stored(each, "hub-nodes")
+        # Counts are stored before each join with them, so that a hub or element with very many rows can be split.
+        sizes = stored(each.groupBy("hub").agg(F.count("*").alias("of")).where("of > 2"), "hub-sizes")
+        each = each.join(small(sizes), "hub")
         largest = each.groupBy("node").agg(F.max(F.struct("of", "hub")).alias("top"))
         covered = each.join(largest, "node").groupBy("hub").agg(F.min("top.hub").alias("lo"), F.max("top.hub").alias("hi")).where("lo = hi and lo <> hub").select("hub")
-        each = each.join(covered, "hub", "left_anti").drop("of")
+        each = each.join(small(stored(covered, "covered")), "hub", "left_anti").drop("of")
         x, h = elements.select("node", F.col("elements").alias("ex")), elements.select(F.col("node").alias("hub"), F.col("elements").alias("eh"))
         each = each.join(x, "node").join(h, "hub")
         delta = F.concat(F.array_except("ex", "eh"), F.array_except("eh", "ex"))
@@ -122,8 +125,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
         t = F.greatest(F.lit(1), F.ceil((hi * F.col("d") - lo * F.col("at.n") + lo * spare) / (2 * hi))).cast("int")
         each = stored(each.withColumn("t", t).where("t <= d"), "deltas")
         spread = each.select("hub", "node", F.explode("delta").alias("e"))
-        common = spread.groupBy("hub", "e").agg(F.count("*").alias("f")).where("f > 1")
-        held = spread.join(common, ["hub", "e"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("held"))
+        common = stored(spread.groupBy("hub", "e").agg(F.count("*").alias("f")).where("f > 1"), "common")
+        held = spread.join(small(common), ["hub", "e"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("held"))
         each = each.drop("delta").join(held, ["hub", "node"]).withColumn("most", F.size("held")).where("most >= t")
         prefix = F.slice("held", F.lit(1), F.col("most") - F.col("t") + 1)
         rare = stored(each.withColumn("e", F.explode(F.transform(prefix, lambda v: v["e"]))).drop("held"), "rare")
