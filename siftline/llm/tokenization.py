@@ -13,16 +13,20 @@ import re
 from array import array
 from collections.abc import Callable
 
-TABLE_ENTRIES = 900_000
+import numpy as np
+
+TABLE_ENTRIES = 1_500_000
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space after a space: a run in which a byte-level pre-tokenizer may cut elsewhere than at the space.
 _RUN = re.compile(" [\\s᠎]")
 _LONE_SPACE = re.compile("(?<![\\s᠎]) (?![\\s᠎])")
-#: Chunks made of letters, full stops, commas and line ends only, and the pieces that the byte-level pattern has for them.
-_PLAIN = re.compile("(?: (?!\n))?[A-Za-zÀ-ÖØ-öø-ɏ.,\n]+")
-_PIECE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[.,]+|\n+(?!.)|\n+(?=\n)|\n", re.S)
+#: Chunks that the library gets joined in one text.
+JOINED = 512
+
+#: A Latin word with one mark behind it, which the byte-level pattern always cuts off.
+_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)[.,]")
 
 #: Before a text's first chunk, so that its table entry is not that of the same chunk after a space.
 _FIRST = " \x00"
@@ -44,7 +48,10 @@ class ByteLevelBPE:
     Cut at single spaces: the byte-level pattern starts a token at every space that has no white space
     beside it, whatever else is in the text, so the parts encode as they do in the whole. Texts with longer
     runs of white space are cut at their lone spaces only. Files with another pre-tokenizer or a
-    normaliser are encoded text by text."""
+    normaliser are encoded text by text.
+
+    New chunks go to the library joined: a chunk without inner spaces has one token that begins with a
+    space, its first, so the ids fall apart again at these tokens."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -56,46 +63,64 @@ class ByteLevelBPE:
         self.by_chunk = pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec.get("normalizer")
         self.by_chunk &= not spec.get("truncation") and not spec.get("padding")
         self.by_chunk &= not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", ()))
-        self.by_piece = self.by_chunk and not any(_PLAIN.fullmatch(t["content"]) for t in spec.get("added_tokens", ()))
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
+        self.cuts_marks = not any(re.search("[A-Za-zÀ-ÖØ-öø-ɏ]$|[A-Za-zÀ-ÖØ-öø-ɏ][.,]|^[.,]", t["content"]) for t in spec.get("added_tokens", ()))
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # the byte 0x20
+        self.opens[[t["id"] for t in spec.get("added_tokens", ())]] = False
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[str], parts: list[str]) -> None:
-        """Adds the ids of each part to the table, under the key beside it."""
-        rest, split = [], []
-        for key, part in zip(keys, parts, strict=True):
-            if self.by_piece and _PLAIN.fullmatch(part):
-                split.append((key, _PIECE.findall(part)))
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, of parts that begin with their only space and go on with other than white space."""
+        out: list[bytes] = []
+        blocks = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        for block, e in zip(blocks, self.library.encode_batch_fast(["".join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(at) != len(block):
+                out += self._library(block)
             else:
-                rest.append((key, part))
-        unseen = list(set().union(*(p for _, p in split)).difference(self.pieces))
-        self.pieces.update(zip(unseen, self._library(unseen), strict=True))
-        get = self.pieces.__getitem__
-        self.chunks.update([(key, b"".join(map(get, p))) for key, p in split])
-        self.chunks.update(zip([k for k, _ in rest], self._library([p for _, p in rest]), strict=True))
+                out += [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Adds the ids of each chunk to the table."""
+        marked = [(c, m[1], c[-1]) for c in new if c[-1:] in (".", ",") and (m := _MARKED.fullmatch(c))] if self.cuts_marks else []
+        alone = [c for c in new if not c or " " in c or c[0].isspace()]
+        bare = new.difference(alone, (c for c, _, _ in marked))
+        bare.update({w for _, w, _ in marked}.difference(self.chunks))
+        joined = list(bare)
+        self.chunks.update(zip(joined, self._joined([" " + c for c in joined]), strict=True))
+        self.chunks.update([(c, self.chunks[w] + self.marks[mark]) for c, w, mark in marked])
+        # A text's first chunk has no space before it.
+        parts = [c[len(_FIRST) :] if c.startswith(_FIRST) else " " + c for c in alone]
+        self.chunks.update(zip(alone, self._library(parts), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._library(texts)
-        if len(self.chunks) > TABLE_ENTRIES or len(self.pieces) > TABLE_ENTRIES:
+        if len(self.chunks) > TABLE_ENTRIES:
             self.chunks.clear()
-            self.pieces.clear()
         # Chunks are kept without the space before them; a text's first chunk has none, so it is marked.
-        cut = []
+        found, gaps, new = [], [], set()
+        get = self.chunks.get
         for t in texts:
             parts = t.split(" ") if not _RUN.search(t) else _LONE_SPACE.split(t)
             parts[0] = _FIRST + parts[0]
-            cut.append(parts)
-        new = set().union(*cut).difference(self.chunks)
-        head = [c for c in new if c.startswith(_FIRST)]
-        tail = list(new.difference(head))
-        self._learn(head, [c[len(_FIRST) :] for c in head])
-        self._learn(tail, [" " + c for c in tail])
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+            ids = list(map(get, parts))
+            gap = [(i, parts[i]) for i, x in enumerate(ids) if x is None] if None in ids else []
+            new.update([c for _, c in gap])
+            found.append(ids)
+            gaps.append(gap)
+        self._learn(new)
+        for ids, gap in zip(found, gaps, strict=True):
+            for i, c in gap:
+                ids[i] = self.chunks[c]
+        return [b"".join(ids) for ids in found]
 
 
 class SentencePieceChunks:
