@@ -13,6 +13,8 @@ from ..operators import catalog as C
 from ..operators import dedupe as D
 from ..operators import events as E
 from ..operators import filters as P
+from ..operators import groups as G
+from ..operators import recovery as R
 from ..schema import EXCLUDED, EXTENSIONS, IN_GROUP, QUEUED, RULES, STATES
 from ..sources import catalog as S
 
@@ -247,10 +249,10 @@ def verify_pairs(spark, d):
     return D.compare_pairs(_members(spark, d), _files(spark, d))
 
 
-@query("SELECT a.id, b.id AS other, (SELECT min(i) FROM range(0, CAST(least(length(a.content), length(b.content)) AS BIGINT) + 1) t(i) WHERE substring(a.content, CAST(i AS INT) + 1, 1) <> substring(b.content, CAST(i AS INT) + 1, 1)) AS at FROM c a JOIN c b ON b.id = a.id + 1 AND a.id < 60 AND a.content <> b.content")
+@query("SELECT a.id, b.id AS other, (SELECT min(i) FROM range(0, CAST(least(length(a.content), length(b.content)) AS BIGINT) + 1) t(i) WHERE substring(a.content, CAST(i AS INT) + 1, 1) <> substring(b.content, CAST(i AS INT) + 1, 1)) AS at FROM c a JOIN c b ON b.id = a.id + 1 AND a.content <> b.content")
 def first_diff(spark, d):
     f = _files(spark, d).select("id", "content")
-    a, b = f.where("id < 60").alias("a"), f.alias("b")
+    a, b = f.alias("a"), f.alias("b")
     return a.join(b, F.expr("b.id = a.id + 1 and a.content <> b.content")).select("a.id", F.col("b.id").alias("other"), H.first_difference(F.col("a.content"), F.col("b.content")).cast("long").alias("at"))
 
 
@@ -555,6 +557,49 @@ def busy_hysteresis(spark, d):
     return E.hysteresis(s, 0.5, 36_000_000, 0.2, 36_000_000)
 
 
+# Group operations and journal recovery
+
+_OPS = "o AS (SELECT id AS seq, CASE id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'join' WHEN 2 THEN 'set_canonical' WHEN 3 THEN 'leave' ELSE 'verified' END AS kind, CASE WHEN id % 5 = 3 AND id % 2 = 1 THEN id - 1 ELSE id END AS file_id, id + 1 AS other_id, CASE WHEN id % 5 = 0 THEN 1000000 + id ELSE 1 + id % 45 END AS group_id, CASE WHEN id % 4 <> 0 THEN 'h' || CAST(id AS {text}) END AS hash FROM c)"
+_START = f"k AS (SELECT group_id AS id, min(size) AS size, 's' AS sparse_hash, min(id) AS canonical_file_id, CASE WHEN group_id % 2 = 0 THEN {NOW} - 5 END AS verified_at, CASE WHEN group_id % 4 = 0 THEN 'f' END AS full_hash, {NOW} - 9 AS created_at FROM c WHERE group_id IS NOT NULL GROUP BY group_id)"
+_VALID = f"{_OPS.replace('{text}', 'VARCHAR')}, {_START}, n AS (SELECT * FROM o WHERE kind = 'create' AND EXISTS (FROM c WHERE id = o.file_id) AND EXISTS (FROM c WHERE id = o.other_id)), v AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE kind <> 'create' AND group_id IN (SELECT id FROM k UNION SELECT group_id FROM n))"
+
+
+def _group_ops(spark, d):
+    f = _files(spark, d).select("id", "size", "group_id")
+    ops = spark.sql(f"WITH {_OPS.replace('{text}', 'STRING')} SELECT * FROM o".replace("FROM c)", "FROM {c})"), c=f)
+    groups = spark.sql(f"WITH {_START} SELECT * FROM k".replace("FROM c ", "FROM {c} "), c=f)
+    return f, groups, G.accepted(f, groups, ops)
+
+
+@query("SELECT c.id, CASE WHEN w.id IS NULL THEN c.group_id ELSE w.g END AS group_id FROM c LEFT JOIN w ON w.id = c.id AND w.place = 1", _VALID + ", w AS (SELECT id, g, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS place FROM (SELECT file_id AS id, seq, CASE WHEN kind <> 'leave' THEN group_id END AS g FROM v WHERE kind <> 'verified' UNION ALL SELECT other_id, seq, group_id FROM v WHERE kind = 'create'))")
+def group_ops_files(spark, d):
+    f, _, ops = _group_ops(spark, d)
+    return G.member_groups(f, ops).select("id", "group_id")
+
+
+@query(
+    f"SELECT q.id, q.size, q.sparse_hash, CASE WHEN NOT EXISTS (FROM v WHERE kind = 'leave' AND v.group_id = q.id AND v.file_id = q.canon AND v.seq > q.since) THEN q.canon END AS canonical_file_id, coalesce(q.verified_at, CASE WHEN EXISTS (FROM v WHERE kind = 'verified' AND v.group_id = q.id) THEN {NOW} END) AS verified_at, coalesce(q.full_hash, (SELECT arg_min(hash, seq) FROM v WHERE kind = 'verified' AND v.group_id = q.id AND hash IS NOT NULL)) AS full_hash, q.created_at FROM q",
+    _VALID + f", b AS (SELECT * FROM k UNION ALL SELECT n.group_id, c.size, n.hash, n.other_id, NULL, NULL, {NOW} FROM n JOIN c ON c.id = n.file_id), q AS (SELECT b.*, coalesce(l.file_id, b.canonical_file_id) AS canon, coalesce(l.seq, -1) AS since FROM b LEFT JOIN (SELECT group_id, max(seq) AS seq, arg_max(file_id, seq) AS file_id FROM v WHERE kind = 'set_canonical' GROUP BY 1) l ON l.group_id = b.id)",
+)
+def group_ops_groups(spark, d):
+    f, groups, ops = _group_ops(spark, d)
+    return G.group_rows(f, groups, ops, NOW)
+
+
+_BOOT = NOW * 1_000_000
+_JOURNAL = "j AS (SELECT id, CASE id % 7 WHEN 0 THEN 'planned' WHEN 1 THEN 'compared' WHEN 2 THEN 'done' WHEN 3 THEN 'aborted' ELSE 'cloned' END AS state, root_id, rel_path, sub_id AS dst_sub_id, ino + CASE WHEN id % 13 = 0 THEN 5 ELSE 0 END AS dst_ino, size + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS dst_size, mtime_ns - id % 4 AS dst_mtime_ns, mtime_ns - 7 AS dst_atime_ns, 1704067200000 + id * 60000 + CASE WHEN id % 17 = 0 THEN 1 ELSE 0 END AS updated_at FROM c), t AS (SELECT root_id, rel_path, sub_id, ino, size, mtime_ns, CASE WHEN id % 3 = 0 THEN mtime_ns ELSE ctime_ns END AS ctime_ns FROM c WHERE state NOT IN ('missing', 'gone'))"
+_FRESH = f"t.size = j.dst_size AND t.mtime_ns = t.ctime_ns AND t.mtime_ns >= j.updated_at * 1000000 AND t.mtime_ns <= {_BOOT}"
+
+
+@query(
+    "SELECT id, decision, decision = 'restore' OR (decision = 'abort' AND state = 'cloned') AS requeue, CASE decision WHEN 'abort' THEN 'aborted' WHEN 'done' THEN 'done' WHEN 'restore' THEN 'done' ELSE state END AS journal_state, CASE WHEN decision = 'restore' THEN dst_mtime_ns END AS restore_mtime_ns, CASE WHEN decision = 'restore' THEN dst_atime_ns END AS restore_atime_ns FROM x",
+    f"{_JOURNAL}, x AS (SELECT j.*, CASE WHEN state IN ('planned', 'compared') THEN 'abort' WHEN state IN ('done', 'aborted') THEN 'closed' WHEN t.ino IS NULL OR t.ino <> j.dst_ino OR t.sub_id <> j.dst_sub_id THEN 'retry' WHEN t.mtime_ns = j.dst_mtime_ns THEN 'done' WHEN {_FRESH} THEN 'restore' ELSE 'abort' END AS decision FROM j LEFT JOIN t ON t.root_id = j.root_id AND t.rel_path = j.rel_path)",
+)
+def journal_recovery(spark, d):
+    f, both = _files(spark, d), f"WITH {_JOURNAL}".replace("FROM c", "FROM {c}")
+    return R.recover(spark.sql(f"{both} SELECT * FROM j", c=f), spark.sql(f"{both} SELECT * FROM t", c=f), _BOOT)
+
+
 #: The flagship report, by its other name.
 def dup_report(spark: SparkSession, d: str) -> DataFrame:
     return report_groups(spark, d)
