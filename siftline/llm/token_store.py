@@ -47,15 +47,20 @@ def merkle(keys: list[bytes]) -> bytes:
     return level[0]
 
 
-def _cuts(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Positions after which the rolling hash of the last 32 ids of the same text asks for a cut."""
-    h = K.mix(ids.astype(K.U64) + K.U64(1))
-    within = np.arange(len(ids)) - np.repeat(off[:-1], np.diff(off))
+@lru_cache(2)
+def _id_values(size: int) -> np.ndarray:
+    return K.mix(np.arange(1, size + 1, dtype=K.U64))
+
+
+def _cuts(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the rolling hash of the last 32 ids asks for a cut.
+
+    Texts follow each other without a gap: the first LEAST ids of a text, which are all that see ids of the
+    text before, are never cut."""
+    h = _id_values(1 << int(ids.max(initial=0)).bit_length())[ids]
     step = 1
     while step < 32:
-        before = np.zeros_like(h)
-        before[step:] = h[:-step] << K.U64(step)
-        h = h + np.where(within >= step, before, K.U64(0))
+        h[step:] += h[:-step] << K.U64(step)
         step *= 2
     return np.flatnonzero(h >> K.U64(64 - MEAN_BITS) == 0) + 1
 
@@ -83,7 +88,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, widt
             encoded = [x + tail for x in encoder.encode(text.slice(a, b - a).to_pylist())]
             ids = np.frombuffer(b"".join(encoded), "<u4")
             off = np.concatenate(([0], np.cumsum([len(x) // 4 for x in encoded])))
-            cuts = _cuts(ids, off)
+            cuts = _cuts(ids)
             raw, bound = ids.astype(f"<u{width}").tobytes(), np.searchsorted(cuts, off, "right")
             rows: list[tuple] = []
             for i in range(b - a):
