@@ -8,6 +8,8 @@ again, until all are distinct and new."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 #: What an entity of each type looks like; the first type that fits counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token)[=:])[A-Za-z0-9_+/-]{6,}|(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token)[=:])(?=[_+/-]*[A-Za-z0-9])[A-Za-z0-9_+/-]{6,}|(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -151,19 +153,27 @@ def _units(raws: DataFrame) -> DataFrame:
     return raws.withColumn("u1", one).withColumn("u2", two)
 
 
-#: Rounds after which drawing gives up; each leaves a small share of the units to the next.
-ROUNDS = 60
+#: Rounds in which surrogates have the length of their unit; each later one makes those still to draw longer by one.
+ROUNDS = 12
+
+
+def _longer(kind: Column, norm: Column, by: int) -> Column:
+    """``norm`` with room for more surrogates. Cards and addresses keep their length: they have at least ten free
+    digits or four bytes."""
+    if by <= 0:
+        return norm
+    return F.when(kind.isin("phone", "ssn", "iban"), F.concat(norm, F.lit("0" * by))).when(kind == "secret", F.concat(norm, F.lit("a" * by))).when(kind == "email", F.concat(F.lit("a" * by), norm)).otherwise(norm)
 
 
 def surrogates(units: DataFrame, key: str) -> DataFrame:
     """kind, norm and surrogate of distinct units (kind, norm): within a kind, no two surrogates are equal and none is
-    the norm of a unit. Raises ValueError if names are more than can be formed."""
+    the norm of a unit. Where a format has no room left, surrogates are longer than their units."""
     units = stored(units.distinct(), "units")
     taken, todo = None, units
-    for n in range(ROUNDS):
+    for n in count():
         seed = lambda part: F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm", F.lit(str(n)), F.lit(part)), 256)  # noqa: B023, E731
         drawn = todo.withColumn("hex", F.concat(seed("a"), seed("b")))
-        out = _draw(F.col("kind"), F.col("norm"), F.col("hex"), key)
+        out = _draw(F.col("kind"), _longer(F.col("kind"), F.col("norm"), n + 1 - ROUNDS), F.col("hex"), key)
         if n:  # a name that is taken gets another part, so that there are more to draw from
             extra = F.substring("hex", 9, 4)
             more = F.concat(out, F.lit("-"), *(_pick("bcdfghklmnprstvz" if i % 2 else "aeiouyaeiouyaeio", F.conv(F.substring(extra, i + 1, 1), 16, 10).cast("int")) for i in range(4)))
@@ -180,7 +190,6 @@ def surrogates(units: DataFrame, key: str) -> DataFrame:
         todo = stored(units.join(taken, ["kind", "norm"], "left_anti"), "units")
         if todo.isEmpty():
             return taken
-    raise ValueError("there are more distinct entities than surrogates of their format")
 
 
 def _cased(value: Column, like: Column) -> Column:
@@ -195,7 +204,8 @@ def _render(raws: DataFrame) -> DataFrame:
         def put(c: Column, i: Column) -> Column:
             return F.when(c.rlike(f"[{pattern}]"), F.substring(s1, F.length(F.regexp_replace(F.substring(raw, F.lit(1), i), f"[^{pattern}]", "")), F.lit(1))).otherwise(c)
 
-        return _chars(raw, put)
+        more = F.substring(s1, F.length(F.regexp_replace(raw, f"[^{pattern}]", "")) + 1, F.length(s1))
+        return F.concat(_chars(raw, put), more)
 
     person = F.concat(F.regexp_extract(raw, rf"^((?:{_TITLE})\.? )", 1), F.when(s2.isNotNull(), F.concat(_cased(s2, F.regexp_extract(raw, r" (\S+) \S+$", 1)), F.lit(" "))).otherwise(""), _cased(s1, F.regexp_extract(raw, r"(\S+)$", 1)))
     secret = F.concat(F.regexp_extract(raw, "^((?i:password|passwd|pwd|secret|token)[=:])", 1), s1)
