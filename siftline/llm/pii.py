@@ -32,6 +32,14 @@ SURNAMES = {
     "cyrillic": "Белов Волков Громов Дубов Ежов Жуков Зимин Исаев Климов Лавров Макаров Носов Орлов Панов Рыбаков Соколов Титов Ушаков Фомин Чернов Шубин Яшин".split(),
 }
 
+#: Sixteen consonants and vowels of each script with capitals, of which further names are formed.
+LETTERS = {
+    "latin": ("bcdfghjklmnprstv", "aeiouaeiouaeioua"),
+    "cyrillic": ("бвгджзклмнпрстфх", "аеиоуаеиоуаеиоуа"),
+    "greek": ("βγδζθκλμνξπρστφχ", "αεηιοαεηιοαεηιοα"),
+    "armenian": ("բգդզլխկհմնպջռստր", "աեիօաեիօաեիօաեիօ"),
+}
+
 _TITLE = "|".join((*TITLES_M, *TITLES_F, *TITLES_ANY))
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 #: What an entity of each type looks like; the first type that fits counts.
@@ -103,6 +111,18 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), weigh)
 
 
+def _formed(kind: Column, hex_: Column, syllables: int) -> Column:
+    """A name of syllables: women's given names end in a vowel, men's in a consonant, as do surnames."""
+
+    def letter(i: int, which: int) -> Column:
+        of = F.coalesce(*(F.when(kind.contains(s), F.lit(x[which])) for s, x in LETTERS.items()))
+        return F.call_function("translate", F.substring(hex_, 17 + i % 112, 1), F.lit("0123456789abcdef"), of)
+
+    body = F.concat(*(letter(i, i % 2) for i in range(2 * syllables)))
+    end = F.when(kind.endswith("_f"), "").when(kind.endswith("_u"), letter(2 * syllables, 1)).otherwise(letter(2 * syllables, 0))
+    return F.initcap(F.concat(body, end))
+
+
 def _draw(kind: Column, norm: Column, hex_: Column, key: str) -> Column:
     """The surrogate of a unit: of its type, length and character classes."""
     at = F.instr(norm, "@")
@@ -133,7 +153,7 @@ def _units(raws: DataFrame) -> DataFrame:
     digits = F.regexp_replace("raw", "[^0-9]", "")
     title = F.regexp_extract("raw", rf"^({_TITLE})\.? ", 1)
     names = F.split(F.regexp_extract("raw", rf"^(?:{_TITLE})\.? (.*)$", 1), " ")
-    script = F.when(F.element_at(names, -1).rlike(r"^\p{IsCyrillic}"), F.lit("cyrillic")).otherwise("latin")
+    script = F.coalesce(*(F.when(F.element_at(names, -1).rlike(rf"^\p{{Is{x.capitalize()}}}"), F.lit(x)) for x in LETTERS), F.lit("latin"))
     first = F.initcap(F.element_at(names, 1))
     gender = F.when(title.isin(*TITLES_M), "m").when(title.isin(*TITLES_F), "f")
     for g in ("m", "f"):
@@ -174,10 +194,10 @@ def surrogates(units: DataFrame, key: str) -> DataFrame:
         seed = lambda part: F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm", F.lit(str(n)), F.lit(part)), 256)  # noqa: B023, E731
         drawn = todo.withColumn("hex", F.concat(seed("a"), seed("b")))
         out = _draw(F.col("kind"), _longer(F.col("kind"), F.col("norm"), n + 1 - ROUNDS), F.col("hex"), key)
-        if n:  # a name that is taken gets another part, so that there are more to draw from
-            extra = F.substring("hex", 9, 4)
-            more = F.concat(out, F.lit("-"), *(_pick("bcdfghklmnprstvz" if i % 2 else "aeiouyaeiouyaeio", F.conv(F.substring(extra, i + 1, 1), 16, 10).cast("int")) for i in range(4)))
-            out = F.when(F.col("kind").rlike("^(given|surname)"), more).otherwise(out)
+        # A name that is taken, or of a script without a list, is formed of syllables.
+        name = F.col("kind").rlike("^(given|surname)")
+        listed = F.col("kind").rlike("latin|cyrillic")
+        out = F.when(name if n else name & ~listed, _formed(F.col("kind"), F.col("hex"), 2 + (n + 1) // 2)).otherwise(out)
         drawn = drawn.select("kind", "norm", out.alias("surrogate"))
         real = units.select("kind", F.col("norm").alias("low"))
         ok = drawn.withColumn("low", F.lower("surrogate")).join(real, ["kind", "low"], "left_anti").drop("low")
@@ -219,7 +239,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     key: a secret; the same key and the same distinct units give the same surrogates. Mentions of a unit in
     another format (a phone number with other separators, a surname without the given name) get the same
-    surrogate in theirs. Letters other than A-Z in names are kept to a script, Latin or Cyrillic; domains of
+    surrogate in theirs. Names keep their script (Latin, Cyrillic, Greek or Armenian; others get Latin ones); domains of
     addresses keep their last label and stay common. Null and empty texts hold nothing. doc_id may be null;
     rows may repeat; other columns are ignored; an empty table gives no rows."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("t1", F.xxhash64("text"))
