@@ -3,7 +3,7 @@
 All work on whole texts, in slices of about ``SLICE_BYTES`` bytes of text (one text is never cut), so
 that memory depends on the slice and on the longest text, not on the partition.
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. Fingerprints of words and windows are
-64-bit; equal fingerprints are taken for equal content.
+64-bit and mixed nonlinearly by place, so that equal fingerprints stand for equal content.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 125_000
 SLICE_ROWS = 4_000
 
 U64 = np.uint64
@@ -28,35 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-
-
-_BYTE = _byte_values()
+#: Bytes of a piece of a span, and a random value for each place in a piece and byte.
+PIECE = 32
+_PLACES = mix(np.arange(1, PIECE * 256 + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_P, _P_INV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-_powers = {"n": 0}
-
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, grown on demand and kept in the worker."""
-    if _powers["n"] < n:
-        size = max(n, 2 * SLICE_BYTES)
-        for name, base in (("up", _P), ("down", _P_INV)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-        _powers["n"] = size
-    up, down = _powers["up"][:n], _powers["down"][:n]
-    if _powers["n"] > 8 * SLICE_BYTES:  # a very long text: don't keep its tables
-        _powers.clear()
-        _powers["n"] = 0
-    return up, down
-
-
-def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of slices; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -69,7 +48,7 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = int(np.searchsorted(off, off[a] + SLICE_BYTES, "right")) - 1
+        b = int(np.searchsorted(off, off[a] + size, "right")) - 1
         b = min(max(b, a + 1), a + SLICE_ROWS, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
@@ -90,40 +69,70 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of the bytes from start to end, which does not depend on where they stand."""
+    """A 64-bit fingerprint of the bytes from start to end of spans that follow each other without overlap; it does
+    not depend on where they stand.
+
+    Each place of a piece of PIECE bytes has its own random value for each byte, and the sums of pieces are mixed
+    with the piece's number before they are added: unlike a polynomial modulo 2**64, no family of texts collides."""
     if not len(start):
         return np.zeros(0, U64)
-    up, down = _power(len(data) + 1)
+    size = (end - start).astype(np.int64)
+    pieces = np.maximum(-(-size // PIECE), 1)
+    whole = int(pieces.max()) == 1
+    if whole:
+        a, b = start, end
+    else:
+        first = np.cumsum(pieces) - pieces
+        number = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+        a = np.repeat(start, pieces) + number * PIECE
+        b = np.minimum(a + PIECE, np.repeat(end, pieces))
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    place = np.zeros(len(data) + 1, kind)
+    place[a] = a
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(data) + 1, dtype=kind), place, out=place)
+    place = place[:-1]
+    place &= PIECE - 1
+    place <<= 8
+    place |= data
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    np.cumsum(_PLACES.take(place), out=total[1:])
+    sums = mix(total[b] - total[a])
+    if not whole:
+        sums = np.add.reduceat(np.where(number > 0, mix(sums + number.astype(U64) * U64(0xA0761D6478BD642F)), sums), first)
+    return mix(sums + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def _next(hashes: np.ndarray, after: np.ndarray, step: int) -> np.ndarray:
+    """Each fingerprint mixed with the one ``step`` places on; those without one stay."""
+    out = hashes.copy()
+    if step < len(out):
+        out[:-step] = mix(out[:-step] * U64(0xD1342543DE82EF95) + after[step:])
+    return out
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of the k hashes from each position on, whether the window stays in its text)."""
-    n = len(hashes)
-    out = np.zeros(n, U64)
-    for j in range(k):
-        out[: n - j if j else n] += hashes[j:] * U64(pow(0xD1342543DE82EF95, j + 1, 1 << 64)) if n > j else U64(0)
-    left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
-    return mix(out), left >= k
-
-
-def window_sums(hashes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums and inverse powers, for windows of any length by ``window_at``."""
-    n = len(hashes)
-    up = np.full(n + 1, base, U64)
-    down = np.full(n + 1, pow(base, -1, 1 << 64), U64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(hashes * up[:n], out=total[1:])
-    return total, down
-
-
-def window_at(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total, down = sums
-    return mix((total[end] - total[start]) * down[start])
+    """(fingerprint of the k hashes from each position on, whether the window stays in its text), by doubling."""
+    size, power, rest = 0, 1, k
+    double, out = hashes, hashes
+    while rest:
+        if rest & 1:
+            out = double if not size else _next(out, double, size)
+            size += power
+        rest >>= 1
+        if rest:
+            double = _next(double, double, power)
+            power *= 2
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(hashes))
+    return out, left >= k
+
+
+def sequences(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A fingerprint of all hashes of each text, in their order."""
+    size = np.diff(first)
+    place = (np.arange(len(hashes)) - np.repeat(first[:-1], size)).astype(U64)
+    total = np.concatenate(([U64(0)], np.cumsum(mix(hashes ^ mix(place + U64(0x5851F42D4C957F2D))))))
+    return mix(total[first[1:]] - total[first[:-1]] + size.astype(U64))
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +148,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndar
     short = np.flatnonzero((n > 0) & (n < k))
     key = [(doc[whole].astype(U64) << U64(52)) | (shingle[whole] >> U64(12))]
     if len(short):
-        sums = window_sums(h, 0xD1342543DE82EF95)
-        one = mix(window_at(sums, first[short], first[short + 1]) ^ n[short].astype(U64))
-        key.append((short.astype(U64) << U64(52)) | (one >> U64(12)))
+        key.append((short.astype(U64) << U64(52)) | (sequences(h, first)[short] >> U64(12)))
     key = np.sort(np.concatenate(key))
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]

@@ -70,8 +70,7 @@ def passages(data: np.ndarray, off: np.ndarray, candidates: list[np.ndarray], le
         return np.zeros(0, np.int64), wanted, np.zeros(len(off), np.int64)
     found = wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low
     x = np.flatnonzero(found & inside)
-    sums = K.window_sums(h, 0xD1342543DE82EF95)
-    return x - np.repeat(first[:-1], np.diff(first))[x], K.window_at(sums, x, x + least), np.searchsorted(x, first)
+    return x - np.repeat(first[:-1], np.diff(first))[x], K.windows(h, first, least)[0][x], np.searchsorted(x, first)
 
 
 def _retain(batches: Iterator[pa.RecordBatch], least: int, span: int) -> Iterator[pa.RecordBatch]:
