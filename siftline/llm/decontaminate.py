@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .tables import prepare, small, stored
+from .tokenization import release
 
 WINDOW, PERCENT = 5, 75
 #: Words of a window that are not placeholders, at least.
@@ -104,9 +105,7 @@ def _windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = np.diff(first)
     short = np.flatnonzero((n > 0) & (n < WINDOW))
     short = short[literal[first[short + 1]] - literal[first[short]] >= np.minimum(LITERALS, n[short])]
-    sums = K.window_sums(h, 0xD1342543DE82EF95)
-    one = K.mix(K.window_at(sums, first[short], first[short + 1]) ^ n[short].astype(K.U64))
-    return np.concatenate((fp[at], one)), np.concatenate((doc[at], short)), np.concatenate((at, first[short]))
+    return np.concatenate((fp[at], K.sequences(h, first)[short])), np.concatenate((doc[at], short)), np.concatenate((at, first[short]))
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +117,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _doc_windows(batches: Iterator[pa.RecordBatch], wanted: object) -> Iterator[pa.RecordBatch]:
+    release()
     known = wanted.value if wanted is not None else None
     if known is not None:
         bits = np.zeros(1 << 22, bool)

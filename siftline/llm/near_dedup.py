@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .linking import link, shared
 from .tables import prepare, small, stored
+from .tokenization import release
 
 COMPONENTS, ROWS = 128, 4
 BANDS = COMPONENTS // ROWS
 #: Of 128 two-bit ranks a pair at 0.75 is expected to differ in 24, with a deviation of 4.4 at most.
 MOST_DIFFERENT = 44
 
+#: Bytes of text that are signed at once; each costs some 25 times as much for the elements' permutations.
+SIGNED_BYTES = 500_000
+
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, p1 long, p2 long, q1 long, q2 long"
 
 
@@ -33,9 +37,10 @@ def _planes(sig: np.ndarray) -> list[np.ndarray]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    release()
     salt = K.mix(np.arange(1, BANDS + 1, dtype=K.U64))
     for batch in batches:
-        for a, b, data, off in K.texts(batch.column(1)):
+        for a, b, data, off in K.texts(batch.column(1), SIGNED_BYTES):
             elements, at = K.shingle_sets(data, off, k)
             n = np.diff(at)
             one = np.concatenate(([K.U64(0)], np.cumsum(K.mix(elements))))

@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from . import kernels as K
 from .tables import prepare
+from .tokenization import release
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
@@ -155,6 +156,7 @@ def fit(patterns: dict[int, int], rounds: int = 200) -> LabelModel:
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     seen: Counter = Counter()
     for batch in batches:
         for _, _, data, off in K.texts(batch.column(0)):
@@ -182,6 +184,7 @@ def _judged(text: pa.Array, model: LabelModel) -> list[pa.Array]:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: LabelModel, text: int, keep: list[int], only_kept: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         if not len(batch):
             continue

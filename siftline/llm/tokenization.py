@@ -1,8 +1,9 @@
 """Subword encoding by distinct chunks.
 
 A text is cut where the tokenizer is bound to cut it, each distinct chunk is encoded once by the
-tokenizer's own library and kept in the worker, and ids are joined back by position. Chunk tables live
-as long as the Python worker and are bounded by ``TABLE_ENTRIES``."""
+tokenizer's own library and kept in the worker, and ids are joined back by position. A chunk table is bounded
+by ``TABLE_BYTES``, lives as long as the Python worker and goes when the worker turns to other texts' tables
+(``load``) or to work without one (``release``)."""
 
 from __future__ import annotations
 
@@ -15,7 +16,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-TABLE_ENTRIES = 1_500_000
+#: Bytes of a worker's chunk table at most, and of an entry: its key, its ids and its place in the table.
+TABLE_BYTES, ENTRY_BYTES = 160_000_000, 200
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -42,7 +44,28 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-class ByteLevelBPE:
+class _Table:
+    """Chunks with their ids, in two generations: when the young one is full it becomes the old one, from which chunks
+    that are met again come back. So frequent chunks are encoded once, however many others pass by."""
+
+    def __init__(self) -> None:
+        self.chunks: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _turn(self) -> None:
+        if len(self.chunks) * ENTRY_BYTES * 2 > TABLE_BYTES:
+            self.before, self.chunks = self.chunks, {}
+
+    def _recalled(self, new: set[str]) -> set[str]:
+        """The chunks of ``new`` that the old generation does not hold; the others come back."""
+        if not self.before:
+            return new
+        known = [c for c in new if c in self.before]
+        self.chunks.update([(c, self.before[c]) for c in known])
+        return new.difference(known)
+
+
+class ByteLevelBPE(_Table):
     """Ids of the tokenizers library for a byte-level BPE file (.json), as little-endian 32-bit integers.
 
     Cut at single spaces: the byte-level pattern starts a token at every space that has no white space
@@ -63,7 +86,7 @@ class ByteLevelBPE:
         self.by_chunk = pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec.get("normalizer")
         self.by_chunk &= not spec.get("truncation") and not spec.get("padding")
         self.by_chunk &= not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", ()))
-        self.chunks: dict[str, bytes] = {}
+        super().__init__()
         self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
         self.cuts_marks = not any(re.search("[A-Za-zÀ-ÖØ-öø-ɏ]$|[A-Za-zÀ-ÖØ-öø-ɏ][.,]|^[.,]", t["content"]) for t in spec.get("added_tokens", ()))
         vocabulary = self.library.get_vocab()
@@ -89,6 +112,7 @@ class ByteLevelBPE:
 
     def _learn(self, new: set[str]) -> None:
         """Adds the ids of each chunk to the table."""
+        new = self._recalled(new)
         marked = [(c, m[1], c[-1]) for c in new if c[-1:] in (".", ",") and (m := _MARKED.fullmatch(c))] if self.cuts_marks else []
         alone = [c for c in new if not c or " " in c or c[0].isspace()]
         bare = new.difference(alone, (c for c, _, _ in marked))
@@ -103,8 +127,7 @@ class ByteLevelBPE:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._library(texts)
-        if len(self.chunks) > TABLE_ENTRIES:
-            self.chunks.clear()
+        self._turn()
         # Chunks are kept without the space before them; a text's first chunk has none, so it is marked.
         found, gaps, new = [], [], set()
         get = self.chunks.get
@@ -123,7 +146,7 @@ class ByteLevelBPE:
         return [b"".join(ids) for ids in found]
 
 
-class SentencePieceChunks:
+class SentencePieceChunks(_Table):
     """Ids of the sentencepiece library for a .model file, as little-endian 32-bit integers.
 
     Where the model does not normalise, adds one space before a text, and no piece holds a whitespace
@@ -142,7 +165,7 @@ class SentencePieceChunks:
         probe = "  é１  é ﬁ\t "
         self.by_chunk = not any(self.MARK in p.lstrip(self.MARK) for p in pieces) and sp.decode(sp.encode(probe)) == probe
         self.by_chunk &= sp.encode("a", out_type=str) == [self.MARK + "a"] or sp.encode("a", out_type=str)[0] == self.MARK
-        self.chunks: dict[str, bytes] = {}
+        super().__init__()
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [_packed(ids) for ids in self.library.encode(parts, num_threads=1)]
@@ -150,8 +173,7 @@ class SentencePieceChunks:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._library(texts)
-        if len(self.chunks) > TABLE_ENTRIES:
-            self.chunks.clear()
+        self._turn()
         cut = []
         for t in texts:
             if self.MARK in t or not t:
@@ -168,7 +190,7 @@ class SentencePieceChunks:
                         run += 1
                 parts = [*joined, " " * run + parts[-1]]
             cut.append(parts)
-        new = list(set().union(*(c for c in cut if c)).difference(self.chunks))
+        new = self._recalled(set().union(*(c for c in cut if c)).difference(self.chunks))
         # The library puts the marker of a chunk before it. An empty chunk is a lone marker at the end of a text.
         alone = [c for c in new if not c]
         self.chunks.update(zip([c for c in new if c], self._library([c for c in new if c]), strict=True))
@@ -179,16 +201,22 @@ class SentencePieceChunks:
         return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
 
 
-_loaded: dict[tuple[str, str], object] = {}
+_loaded: dict[str, object] = {}
+_KINDS: dict[str, Callable] = {".json": ByteLevelBPE, ".model": SentencePieceChunks}
 
 
 def load(path: str) -> ByteLevelBPE | SentencePieceChunks:
-    """The encoder for a tokenizer file, kept in the worker by path: .json or .model."""
-    kinds: dict[str, Callable] = {".json": ByteLevelBPE, ".model": SentencePieceChunks}
-    kind = os.path.splitext(path)[1]
-    if kind not in kinds:
+    """The encoder for a tokenizer file, kept in the worker by path: .json or .model. Tables of other files go."""
+    kind = _KINDS.get(os.path.splitext(path)[1])
+    if kind is None:
         raise ValueError(f"no encoder for {path}")
-    key = (path, kind)
-    if key not in _loaded:
-        _loaded[key] = kinds[kind](path)
-    return _loaded[key]
+    release(path)
+    if path not in _loaded:
+        _loaded[path] = kind(path)
+    return _loaded[path]
+
+
+def release(but: str | None = None) -> None:
+    """Drops the chunk tables that earlier tasks left in a reused worker."""
+    for path in [p for p in _loaded if p != but]:
+        del _loaded[path]
