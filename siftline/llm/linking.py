@@ -84,7 +84,8 @@ def link(
 
     members: bucket, node, size (of the bucket) and a struct ``at`` with what ``near`` needs, one row
     for each node of a bucket. near("x", "y"): a necessary condition for a link between rows with these
-    aliases. verify: keeps the linked ones of distinct pairs (a, b), a < b. apart: distinct pairs of different components
+    aliases. verify: keeps the linked ones of distinct pairs (a, b), a < b; pairs of step 3 come with their components
+    (ca, cb), of which links that join nothing new may be left out. apart: distinct pairs of different components
     that may be linked, from the members of open buckets with their component, their bucket's hub
     and the hub's component; without it all pairs of a bucket that ``near`` lets pass."""
     hubs = members.groupBy("node").agg(F.sum("size").alias("hub"))
@@ -107,6 +108,7 @@ def link(
     else:
         x, y = rest.alias("x"), rest.alias("y")
         other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        pairs = x.join(y, other & near("x", "y")).select(*ordered).distinct()
+        both = (F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
+        pairs = x.join(y, other & near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), *both).distinct()
     more = stored(verify(stored(pairs, "pairs")), "links")
     return of if more.isEmpty() else components(edges.union(more))
