@@ -25,7 +25,7 @@ GIVEN = {
     "latin_u": "Alex Andrea Ariel Chris Dominique Eden Eli Gabriel Jamie Jessie Jordan Jules Kai Kim Lee Lou Luca Marion Micha Morgan Nicola Noel Quinn Robin Sam Sascha Sidney Sky Toni Valery".split(),
     "cyrillic_m": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Сергей Тимур Фёдор Юрий".split(),
     "cyrillic_f": "Алла Анна Вера Галина Дарья Елена Жанна Зоя Инна Ирина Лидия Мария Нина Ольга Полина Раиса Софья Юлия".split(),
-    "cyrillic_u": "Саша Женя Валя Никита Слава Шура Паша Симa Тоша Вася".split(),
+    "cyrillic_u": "Саша Женя Валя Никита Слава Шура Паша Сима Тоша Вася".split(),
 }
 SURNAMES = {
     "latin": "Abel Adler Albright Andersen Arnold Bach Baker Bauer Becker Bell Berger Blanc Braun Brook Carter Chapman Clark Cruz Dale Dietrich Dubois Engel Farmer Fischer Fontaine Ford Foster Franco Garcia Garnier Graf Gray Hahn Hall Harper Hill Hoffmann Huber Jansen Keller Klein Kramer Lange Laurent Lehmann Lopez Marsh Martin Mason Meyer Miller Moreau Moreno Morris Navarro Olsen Ortiz Palmer Peters Porter Richter Rivera Roth Rousseau Sanders Schmidt Schulz Silva Simon Stone Torres Vogel Wagner Walker Weber West Winter Wolf Young Ziegler".split(),
@@ -54,7 +54,7 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
 }
 #: A text without any of these holds no entity.
-_ANY = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}|(?i:password|passwd|pwd|secret|token)[=:]"
+_ANY = rf"[0-9@]|AKIA|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}|(?i:password|passwd|pwd|secret|token)[=:]"
 
 
 def _combined() -> str:
@@ -111,6 +111,16 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), weigh)
 
 
+def _mod97(code: Column) -> Column:
+    """The remainder by 97 of digits and capitals, a capital counted as its number from 10 on."""
+
+    def step(rest: Column, i: Column) -> Column:
+        c = F.substring(code, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), (rest * 10 + c.try_cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(code)), F.lit(0), step)
+
+
 def _formed(kind: Column, hex_: Column, syllables: int) -> Column:
     """A name of syllables: women's given names end in a vowel, men's in a consonant, as do surnames."""
 
@@ -136,7 +146,9 @@ def _draw(kind: Column, norm: Column, hex_: Column, key: str) -> Column:
     country = F.when(norm.rlike("^[17]"), 1).otherwise(2)
     phone = F.concat(F.substring(norm, F.lit(1), country), _like(F.substring(norm, country + 1, F.length(norm)), hex_))
     secret = F.when(norm.rlike("^AKIA"), F.concat(F.lit("AKIA"), _like(F.substring(norm, 5, 16), hex_))).when(norm.rlike("^[0-9a-f]+$"), _hex_like(norm, hex_)).otherwise(_like(norm, hex_))
-    iban = F.concat(F.substring(norm, 1, 2), _like(F.substring(norm, F.lit(3), F.length(norm)), hex_))
+    account = _like(F.substring(norm, F.lit(5), F.length(norm)), hex_)
+    iban = F.concat(F.substring(norm, 1, 2), F.lpad((98 - _mod97(F.concat(account, F.substring(norm, 1, 2), F.lit("00")))).cast("string"), 2, "0"), account)
+    iban = F.when(_mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1, iban).otherwise(F.concat(F.substring(norm, 1, 2), _like(F.substring(norm, F.lit(3), F.length(norm)), hex_)))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "ssn", _like(norm, hex_))
     wide = lambda i: _byte(hex_, F.lit(i)) * 256 + _byte(hex_, F.lit(i + 1))
     for which, names in GIVEN.items():
@@ -185,6 +197,10 @@ def _longer(kind: Column, norm: Column, by: int) -> Column:
     return F.when(kind.isin("phone", "ssn", "iban"), F.concat(norm, F.lit("0" * by))).when(kind == "secret", F.concat(norm, F.lit("a" * by))).when(kind == "email", F.concat(F.lit("a" * by), norm)).otherwise(norm)
 
 
+#: Documents with entities that are broadcast at most: their replacements are some 200 bytes each.
+REPLACED = 100_000
+
+
 def surrogates(units: DataFrame, key: str) -> DataFrame:
     """kind, norm and surrogate of distinct units (kind, norm): within a kind, no two surrogates are equal and none is
     the norm of a unit. Where a format has no room left, surrogates are longer than their units."""
@@ -234,13 +250,14 @@ def _render(raws: DataFrame) -> DataFrame:
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) that hold entities: doc_id, n_entities, types (one for each, in order of
-    place), text with their surrogates.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_entities, types (one for each, in order of
+    place), text with their surrogates. Rows without entities have 0, no types and their text as it is.
 
     key: a secret; the same key and the same distinct units give the same surrogates. Mentions of a unit in
     another format (a phone number with other separators, a surname without the given name) get the same
     surrogate in theirs. Names keep their script (Latin, Cyrillic, Greek or Armenian; others get Latin ones); domains of
-    addresses keep their last label and stay common. Null and empty texts hold nothing. doc_id may be null;
+    addresses keep their last label and stay common. Bank account and card numbers
+    that are valid stay so. Null and empty texts hold nothing. doc_id may be null;
     rows may repeat; other columns are ignored; an empty table gives no rows."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("t1", F.xxhash64("text"))
     some = docs.where(F.col("text").rlike(_ANY)).withColumn("raws", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).where(F.size("raws") > 0)
@@ -253,8 +270,10 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     raws = raws.select("raw", "type", F.col("u1.kind").alias("k1"), F.col("u1.norm").alias("n1"), F.col("u2.kind").alias("k2"), F.col("u2.norm").alias("n2"))
     to = stored(_render(raws.join(named(1), ["k1", "n1"]).join(named(2), ["k2", "n2"], "left")), "replacements")
     put = each.join(to, "raw").groupBy("doc_id", "t1").agg(F.array_sort(F.collect_list(F.struct("pos", "to", "type"))).alias("put"))
-    p, d = small(stored(put, "replaced")).alias("p"), docs.where(F.col("text").rlike(_ANY)).alias("d")
-    both = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.t1") == F.col("p.t1"))).select("d.doc_id", "text", "put")
-    gaps = F.split("text", PATTERN, -1)
+    p, d = small(stored(put, "replaced"), REPLACED).alias("p"), docs.alias("d")
+    both = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.t1") == F.col("p.t1")), "left").select("d.doc_id", "text", "put")
+    gaps = F.split(F.when(F.col("put").isNotNull(), F.col("text")), PATTERN, -1)
     text = F.array_join(F.zip_with(gaps, F.col("put.to"), lambda gap, to: F.concat(gap, F.coalesce(to, F.lit("")))), "")
-    return both.select("doc_id", F.size("put").alias("n_entities"), F.col("put.type").alias("types"), text.alias("text"))
+    text = F.when(F.col("put").isNull(), F.col("text")).otherwise(text)
+    types = F.coalesce("put.type", F.array().cast("array<string>"))
+    return both.select("doc_id", F.when(F.col("put").isNull(), 0).otherwise(F.size("put")).alias("n_entities"), types.alias("types"), text.alias("text"))

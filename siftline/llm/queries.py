@@ -26,7 +26,8 @@ KEY = "siftline"
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), KEY)
+    """The documents that hold entities; the operator itself returns the others as they are, too."""
+    return pseudonymise(table(spark, sf_dir, "documents"), KEY).where("n_entities > 0")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

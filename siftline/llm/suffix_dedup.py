@@ -125,12 +125,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, span: int = SPAN) ->
     whole = rows.join(copies.where("first < last"), ["t1", "t2"], "left_semi").distinct()
     one = kept.join(copies.select("t1", "t2", F.col("first").alias("doc_id")), ["t1", "t2", "doc_id"], "left_semi")
     each = one.select("doc_id", "t1", F.explode(F.arrays_zip("lead", "at")).alias("x")).select("doc_id", "t1", F.col("x.lead").alias("lead"), F.col("x.at").alias("at"))
-    runs = each.groupBy("lead").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("lead")
+    # Leads and windows are stored before the joins with them, so that one that very many texts hold can be split.
+    runs = stored(each.groupBy("lead").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("lead"), "leads")
     candidates = each.join(runs, "lead", "left_semi").groupBy("doc_id", "t1").agg(F.collect_set("at").alias("at"))
     text = docs.join(candidates, ["doc_id", "t1"]).select("doc_id", "t1", "text", "at")
     windows = stored(text.mapInArrow(partial(_windows, least=least, span=span), "doc_id long, t1 long, start array<int>, fp array<long>"), "windows")
     each = windows.select("doc_id", "t1", F.explode(F.arrays_zip("start", "fp")).alias("x")).select("doc_id", "t1", F.col("x.start").alias("start"), F.col("x.fp").alias("fp"))
-    repeated = each.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp")
+    repeated = stored(each.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp"), "repeated")
     starts = each.join(repeated, "fp", "left_semi").groupBy("doc_id", "t1").agg(F.collect_set("start").alias("starts"))
     # A copied text is repeated as a whole, its first copy's other matches included.
     parts = starts.join(whole.select("doc_id", "t1"), ["doc_id", "t1"], "left_anti").join(rows.dropDuplicates(["doc_id", "t1"]), ["doc_id", "t1"])

@@ -56,8 +56,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     misses = narrow.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(cached_counts(spark, cache, version), "content", "left_anti")
     misses = stored(misses, "misses").alias("m")
     d = docs.alias("d")
+    # The text of one row for each missing digest: the join is on its id as well, so that copies do not meet.
     todo = d.join(misses, (F.col("d.content") == F.col("m.content")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left_semi")
     new = todo.select("content", "text").mapInArrow(partial(_count, tokenizer=tokenizer), "content binary, n_tokens long")
     new.dropDuplicates(["content"]).select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
-    out = narrow.join(cached_counts(spark, cache, version), "content", "left")
+    # Counts are stored before the join, so that a content that very many rows have can be split.
+    counts = stored(cached_counts(spark, cache, version), "counts")
+    out = narrow.join(counts, "content", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
