@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand elsewhere go; a document goes when all its lines that took part are gone. n_chars follows."""
-    out = dedup_lines(docs.select(*COLUMNS)).where("not emptied")
+    """Lines that stand elsewhere go; a document goes when no word is left of those it had. n_chars follows."""
+    out = dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     n = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n).select(*COLUMNS)
 
