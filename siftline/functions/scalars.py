@@ -104,3 +104,29 @@ def watch_limit(dirs: Column, limit: Column) -> Column:
     need = div(dirs * 12, 10)
     up = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(need, F.lit(8192)).cast("double")))).cast("bigint")
     return F.when(dirs * 12 > limit * 10, F.greatest(up, limit))
+
+
+def in_branches(path: Column, branches: list[str]) -> Column:
+    """Whether a path lies in one of the folders, by components; no folders mean the whole root."""
+    out = F.lit(not branches)
+    for b in branches:
+        out |= under_dir(path, b)
+    return out
+
+
+def before_cursor(folder: Column, cursor: str) -> Column:
+    """Whether a folder lies wholly before the cursor in path order: before it and not above it."""
+    at = cursor.split("/")
+    above = F.lit(cursor).startswith(F.concat(folder, F.lit("/"))) | (folder == cursor)
+    return (path_key(folder) < F.array(*(F.lit(x) for x in at))) & ~above
+
+
+def reconcile_since(last_ms: int | None) -> int:
+    """Changes of an hour before the last run on are looked at again; all if there was none."""
+    return max((last_ms or 0) - HOUR, 0)
+
+
+def in_window(minute: Column, start: int, end: int) -> tuple[Column, Column]:
+    """Whether a minute of the day lies in a daily window, which may pass midnight, and the minutes until it does."""
+    inside = (minute >= start) & (minute < end) if start < end else (minute >= start) | (minute < end)
+    return inside, F.when(inside, F.lit(0).cast("long")).otherwise(F.pmod(F.lit(start) - minute, F.lit(1440)).cast("long"))

@@ -59,6 +59,24 @@ def rename_over(files: DataFrame, moves: DataFrame) -> DataFrame:
     return files.join(m, ["root_id", "rel_path"]).where("not (sub_id = s and ino = i) and state not in ('missing', 'gone')").select("id", "rel_path")
 
 
+def rename(files: DataFrame, moves: DataFrame) -> DataFrame:
+    """The rows that move (sub_id, ino, root_id, rel_path: where to), at their new place; a key without a row is left out."""
+    to = moves.select("sub_id", "ino", F.col("root_id").alias("new_root"), F.col("rel_path").alias("new_path"))
+    return files.join(to, ["sub_id", "ino"]).select("id", F.col("new_path").alias("rel_path"), F.col("new_root").alias("root_id"))
+
+
+def mark_missing_at(files: DataFrame, places: DataFrame, now: int) -> DataFrame:
+    """All live rows at places (root_id, rel_path) vanish."""
+    return mark_missing(files.join(places.select("root_id", "rel_path").distinct(), ["root_id", "rel_path"], "left_semi"), F.lit(True), now)
+
+
+def restore_or_reset(files: DataFrame, seen: DataFrame, kinds: DataFrame, now: int) -> DataFrame:
+    """Missing rows that are seen again (as for ``upsert_pending``): restored if nothing changed, else queued anew."""
+    gone = files.where("state = 'missing'")
+    again = seen.join(gone.select("sub_id", "ino"), ["sub_id", "ino"], "left_semi").withColumn("ready_at", F.lit(now)).withColumn("priority", F.lit(0))
+    return gone.select("id", "sub_id", "ino").join(upsert_pending(gone, again, kinds, now), ["sub_id", "ino"])
+
+
 def apply_cas(files: DataFrame, changes: DataFrame, now: int) -> DataFrame:
     """Transitions (id, from, to, set_group, group_id): applied where the state is still ``from``, else raced."""
     c = changes.withColumnRenamed("group_id", "new_group")
@@ -84,3 +102,44 @@ def presence_guard(files: DataFrame, seen: DataFrame, kinds: DataFrame) -> DataF
     out = kinds.select("root_id", "kind").join(known, "root_id", "left").join(got, "root_id", "left").fillna(0, ["known", "seen"])
     least = F.when(F.col("kind") == "remote", 75).otherwise(90)
     return out.select("root_id", "known", "seen", ((F.col("seen") > 0) & (F.col("seen") * 100 >= F.col("known") * least)).alias("conclusive"))
+
+
+def next_ready(files: DataFrame, now: int, n: int, most_wait_ms: int, heavy: bool = False) -> DataFrame:
+    """The first n files of the queue that may be worked on: heavy work waits for its hours, but not longer than most_wait_ms."""
+    light = F.col("state").isin("settling", "sized") | (F.col("heavy_wait_since") <= now - most_wait_ms)
+    ready = files.where(F.col("state").isin(*QUEUED) & (F.col("ready_at") <= now))
+    return (ready if heavy else ready.where(light)).orderBy("priority", "ready_at", "id").limit(n)
+
+
+def expire(files: DataFrame, cutoff: int) -> DataFrame:
+    """Missing rows that were not touched since the cutoff become gone; the guards come first."""
+    return files.where((F.col("state") == "missing") & (F.col("updated_at") < cutoff)).select("id", F.lit("gone").alias("state"))
+
+
+def park(files: DataFrame, now: int) -> DataFrame:
+    """Hashed rows: those that wait are parked, parked ones are ready now."""
+    none = F.col("ready_at").isNull()
+    return files.where("state = 'hashed'").select("id", F.when(none, "unparked").otherwise("parked").alias("change"), F.when(none, F.lit(now)).alias("ready_at"))
+
+
+def verified_under(files: DataFrame, folders: list[str]) -> DataFrame:
+    """Verified rows under any of the folders, to be queued again."""
+    under = F.lit(False)
+    for f in folders:
+        under |= under_dir(F.col("rel_path"), f)
+    return files.where((F.col("state") == "verified") & under)
+
+
+def unskip(files: DataFrame, now: int) -> DataFrame:
+    """Rows with a reason to be skipped lose it; skipped ones settle anew."""
+    skipped = F.col("state") == "skipped"
+    ready = F.when(skipped, F.lit(now)).otherwise(F.col("ready_at"))
+    return files.where("skip_reason is not null and state <> 'gone'").select("id", F.when(skipped, "settling").otherwise(F.col("state")).alias("state"), ready.alias("ready_at"))
+
+
+def phase_b(files: DataFrame, root: int, now: int) -> DataFrame:
+    """Sized rows of a root that wait for the end of its scan: those with a peer of their domain and size are woken, the
+    others are distinct."""
+    n = files.where("state not in ('missing', 'gone')").groupBy("domain_id", "size").agg(F.count("*").alias("n"))
+    f = files.where((F.col("state") == "sized") & F.col("ready_at").isNull() & (F.col("root_id") == root)).join(n, ["domain_id", "size"])
+    return f.select("id", F.when(F.col("n") > 1, None).otherwise("distinct").alias("state"), F.when(F.col("n") > 1, now).alias("ready_at"))

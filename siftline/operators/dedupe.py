@@ -22,13 +22,16 @@ def size_peers(files: DataFrame) -> DataFrame:
 
 
 def candidates(files: DataFrame, settled_before_ns: int, limit: int, same: tuple[str, ...] = ("domain_id", "size")) -> DataFrame:
-    """For each settled file its first ``limit`` candidates: hashed ones first, then by age."""
+    """For each settled file its first ``limit`` candidates by age."""
     me = files.where("state in ('sized', 'distinct')").select(*same, F.col("id").alias("me"))
     other = files.where("state in ('sized', 'distinct') and nlink = 1").where(F.col("mtime_ns") <= settled_before_ns)
-    other = other.select(*same, "id", "mtime_ns", "first_seen_at")
-    w = Window.partitionBy("me").orderBy("mtime_ns", "first_seen_at", "id")
-    pairs = me.join(other, list(same)).where("me <> id").withColumn("rank", F.row_number().over(w))
-    return pairs.where(F.col("rank") <= limit).select("me", "id", "rank")
+    # The first limit + 1 of each class serve all its files, whatever its size.
+    first = Window.partitionBy(*same).orderBy("mtime_ns", "first_seen_at", "id")
+    other = other.select(*same, "id", F.row_number().over(first).alias("place")).where(F.col("place") <= limit + 1)
+    own = other.select(*same, F.col("id").alias("me"), F.col("place").alias("own"))
+    pairs = me.join(own, [*same, "me"], "left").join(other, list(same)).where("me <> id")
+    rank = F.col("place") - F.when(F.col("own") < F.col("place"), 1).otherwise(0)
+    return pairs.select("me", "id", rank.alias("rank")).where(F.col("rank") <= limit)
 
 
 def pending_same_size(files: DataFrame) -> DataFrame:
@@ -43,8 +46,9 @@ def content_groups(files: DataFrame, chunks: int, length: int, align: int = 1) -
     The sparse hash narrows and the full digest decides, for size peers only. A group takes the least
     (mtime, first seen, ino, id) as canonical. Elected by an aggregate and a join on the key: a class of any size meets
     one row per task."""
-    peers = size_peers(files)
-    hashed = peers.withColumn("sparse_hash", sparse_hash(F.col("content"), F.col("size"), chunks, length, align)).withColumn("digest", full_hash(F.col("content")))
+    peers = size_peers(files).withColumn("sparse_hash", sparse_hash(F.col("content"), F.col("size"), chunks, length, align))
+    classes = peers.groupBy("domain_id", "size", "sparse_hash").count().where("count > 1")
+    hashed = peers.join(classes, ["domain_id", "size", "sparse_hash"], "left_semi").withColumn("digest", full_hash(F.col("content")))
     hashed = hashed.select("id", "ino", "root_id", "owner_uid", "state", "domain_id", "size", "mtime_ns", "first_seen_at", "sparse_hash", "digest")
     key = ["domain_id", "size", "sparse_hash", "digest"]
     best = hashed.groupBy(*key).agg(F.min(F.struct(*ELECTION)).alias("best"), F.count("*").alias("n")).where("n > 1")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import parse_window
 from ..functions import hashing as H
 from ..functions import scalars as X
 from ..operators import catalog as C
@@ -147,7 +148,7 @@ def path_order(spark, d):
 
 @query("SELECT id FROM c WHERE string_split(rel_path, '/') < ['a', 'en'] AND rel_path <> 'a' AND NOT starts_with('a/en', rel_path || '/')")
 def cursor_prune(spark, d):
-    return _files(spark, d).where(X.path_key(F.col("rel_path")) < F.array(F.lit("a"), F.lit("en"))).where("rel_path <> 'a' and not startswith('a/en', rel_path || '/')").select("id")
+    return _files(spark, d).where(X.before_cursor(F.col("rel_path"), "a/en")).select("id")
 
 
 @query("SELECT id, rel_path = 'a' OR starts_with(rel_path, 'a/') AS under_a FROM c")
@@ -249,7 +250,10 @@ def verify_pairs(spark, d):
     return D.compare_pairs(_members(spark, d), _files(spark, d))
 
 
-@query("SELECT a.id, b.id AS other, (SELECT min(i) FROM range(0, CAST(least(length(a.content), length(b.content)) AS BIGINT) + 1) t(i) WHERE substring(a.content, CAST(i AS INT) + 1, 1) <> substring(b.content, CAST(i AS INT) + 1, 1)) AS at FROM c a JOIN c b ON b.id = a.id + 1 AND a.content <> b.content")
+_BYTES = "regexp_extract_all(hex(encode({}.content)), '..')"
+
+
+@query(f"SELECT a.id, b.id AS other, CAST(list_position(list_transform(list_zip({_BYTES.format('a')}, {_BYTES.format('b')}), lambda x: x[1] IS DISTINCT FROM x[2]), true) - 1 AS BIGINT) AS at FROM c a JOIN c b ON b.id = a.id + 1 AND a.content <> b.content")
 def first_diff(spark, d):
     f = _files(spark, d).select("id", "content")
     a, b = f.alias("a"), f.alias("b")
@@ -274,19 +278,9 @@ def reelect(spark, d):
     return D.reelect(_files(spark, d))
 
 
-@query("SELECT g.group_id, min(h.group_id) AS next_group FROM (SELECT DISTINCT group_id, owner_uid % 3 AS k FROM c WHERE group_id IS NOT NULL) g LEFT JOIN (SELECT DISTINCT group_id, owner_uid % 3 AS k FROM c WHERE group_id IS NOT NULL) h ON g.k = h.k AND h.group_id > g.group_id GROUP BY 1")
-def next_group(spark, d):
-    g = _files(spark, d).where("group_id is not null").select("group_id", (F.col("owner_uid") % 3).alias("k")).distinct()
-    h = g.withColumnRenamed("group_id", "next")
-    return g.join(h, (g.k == h.k) & (F.col("next") > F.col("group_id")), "left").groupBy("group_id").agg(F.min("next").alias("next_group"))
-
-
 @query(f"SELECT id, CASE WHEN n > 1 THEN CAST(NULL AS VARCHAR) ELSE 'distinct' END AS state, CASE WHEN n > 1 THEN {NOW} END AS ready_at FROM (SELECT c.*, k.n FROM c JOIN (SELECT size, count(*) AS n FROM c WHERE state NOT IN ('missing', 'gone') GROUP BY 1) k USING (size)) WHERE state = 'sized' AND ready_at IS NULL AND root_id = 1")
 def phase_b(spark, d):
-    f = _files(spark, d)
-    n = f.where(D.live()).groupBy("domain_id", "size").agg(F.count("*").alias("n"))
-    f = f.where("state = 'sized' and ready_at is null and root_id = 1").join(n, ["domain_id", "size"])
-    return f.select("id", F.when(F.col("n") > 1, None).otherwise("distinct").alias("state"), F.when(F.col("n") > 1, NOW).alias("ready_at"))
+    return C.phase_b(_files(spark, d), 1, NOW)
 
 
 # Reports
@@ -389,13 +383,12 @@ def purge(spark, d):
 
 @query(f"SELECT id, CASE WHEN ready_at IS NULL THEN 'unparked' ELSE 'parked' END AS change, CASE WHEN ready_at IS NULL THEN CAST({NOW} AS BIGINT) END AS ready_at FROM c WHERE state = 'hashed'")
 def park_unpark(spark, d):
-    none = F.col("ready_at").isNull()
-    return _files(spark, d).where("state = 'hashed'").select("id", F.when(none, "unparked").otherwise("parked").alias("change"), F.when(none, F.lit(NOW)).alias("ready_at"))
+    return C.park(_files(spark, d), NOW)
 
 
 @query("SELECT id FROM c WHERE state = 'verified' AND (starts_with(rel_path, 'en/') OR starts_with(rel_path, 'a/'))")
 def requeue_verified(spark, d):
-    return _files(spark, d).where((F.col("state") == "verified") & (X.under_dir(F.col("rel_path"), "en") | X.under_dir(F.col("rel_path"), "a"))).select("id")
+    return C.verified_under(_files(spark, d), ["en", "a"]).select("id")
 
 
 @query("SELECT root_id, rel_path, arg_min(id, (CASE WHEN state IN ('missing', 'gone') THEN 1 ELSE 0 END, id)) AS id FROM c GROUP BY 1, 2")
@@ -406,16 +399,12 @@ def pick_live_row(spark, d):
 
 @query(f"SELECT id, CASE WHEN state = 'skipped' THEN 'settling' ELSE state END AS state, CASE WHEN state = 'skipped' THEN CAST({NOW} AS BIGINT) ELSE ready_at END AS ready_at FROM c WHERE skip_reason IS NOT NULL AND state <> 'gone'")
 def unskip(spark, d):
-    skipped = F.col("state") == "skipped"
-    return _files(spark, d).where("skip_reason is not null and state <> 'gone'").select("id", F.when(skipped, "settling").otherwise(F.col("state")).alias("state"), F.when(skipped, F.lit(NOW)).otherwise(F.col("ready_at")).alias("ready_at"))
+    return C.unskip(_files(spark, d), NOW)
 
 
-@query(f"SELECT id, row_number() OVER (PARTITION BY priority ORDER BY ready_at, id) AS place, priority FROM c WHERE state IN ({_list(QUEUED)}) AND ready_at <= {NOW} AND (state IN ('settling', 'sized') OR heavy_wait_since <= {NOW - 3_600_000})")
+@query(f"SELECT id, priority, ready_at FROM c WHERE state IN ({_list(QUEUED)}) AND ready_at <= {NOW} AND (state IN ('settling', 'sized') OR heavy_wait_since <= {NOW - 3_600_000}) ORDER BY priority, ready_at, id LIMIT 50")
 def next_ready(spark, d):
-    from pyspark.sql import Window
-
-    f = _files(spark, d).where(F.col("state").isin(*QUEUED) & (F.col("ready_at") <= NOW) & (F.col("state").isin("settling", "sized") | (F.col("heavy_wait_since") <= NOW - 3_600_000)))
-    return f.select("id", F.row_number().over(Window.partitionBy("priority").orderBy("ready_at", "id")).cast("long").alias("place"), "priority")
+    return C.next_ready(_files(spark, d), NOW, 50, 3_600_000).select("id", "priority", "ready_at")
 
 
 @query("SELECT kind, path, max(added) AS added FROM (SELECT path, kind, 1 AS added FROM r UNION ALL SELECT '/mnt/new', 'remote', 2 UNION ALL SELECT path, kind, 0 FROM r) GROUP BY 1, 2")
@@ -441,7 +430,7 @@ def presence_restore(spark, d):
 
 @query(f"SELECT id, 'gone' AS state FROM c WHERE state = 'missing' AND updated_at < {NOW - 100 * 86_400_000}")
 def presence_expire(spark, d):
-    return _files(spark, d).where((F.col("state") == "missing") & (F.col("updated_at") < NOW - 100 * 86_400_000)).select("id", F.lit("gone").alias("state"))
+    return C.expire(_files(spark, d), NOW - 100 * 86_400_000)
 
 
 @query("SELECT r.root_id, known, seen, seen > 0 AND seen * 100 >= known * CASE kind WHEN 'remote' THEN 75 ELSE 90 END AS conclusive FROM r JOIN (SELECT root_id, count_if(state <> 'gone') AS known, count_if(id % 5 <> 0) AS seen FROM c GROUP BY 1) USING (root_id)")
@@ -452,7 +441,7 @@ def presence_guard(spark, d):
 
 @query(f"SELECT id FROM c WHERE ctime_ns // 1000000 >= greatest({1_704_067_200_000 + 400 * 60_000} - 3600000, 0)")
 def delta_reconcile(spark, d):
-    since = max(1_704_067_200_000 + 400 * 60_000 - 3_600_000, 0)
+    since = X.reconcile_since(1_704_067_200_000 + 400 * 60_000)
     return _files(spark, d).where(F.col("ctime_ns") >= since * 1_000_000).select("id")
 
 
@@ -466,8 +455,7 @@ def remote_rescan(spark, d):
 
 @query("SELECT id FROM c WHERE starts_with(rel_path, 'en/src1/') OR starts_with(rel_path, 'a/fr/')")
 def branch_filter(spark, d):
-    parts = F.split("rel_path", "/")
-    return _files(spark, d).where((F.slice(parts, 1, 2) == F.array(F.lit("en"), F.lit("src1"))) | (F.slice(parts, 1, 2) == F.array(F.lit("a"), F.lit("fr")))).select("id")
+    return _files(spark, d).where(X.in_branches(F.col("rel_path"), ["en/src1", "a/fr"])).select("id")
 
 
 # Schedule, policies, events
@@ -493,9 +481,8 @@ def errno_policy(spark, d):
 
 @query("SELECT id, (m >= 1320 OR m < 300) AS heavy, CASE WHEN m >= 1320 OR m < 300 THEN 0 ELSE 1320 - m END AS wait_min FROM (SELECT id, id * 37 % 1440 AS m FROM c)")
 def heavy_window(spark, d):
-    m = F.col("id") * 37 % 1440
-    inside = (m >= 1320) | (m < 300)
-    return _files(spark, d).select("id", inside.alias("heavy"), F.when(inside, F.lit(0).cast("long")).otherwise(1320 - m).alias("wait_min"))
+    inside, wait = X.in_window(F.col("id") * 37 % 1440, *parse_window("22:00-05:00"))
+    return _files(spark, d).select("id", inside.alias("heavy"), wait.alias("wait_min"))
 
 
 @query(f"SELECT id, task, last IS NULL OR {NOW} - last >= period AS due FROM (SELECT id, task, period, CASE WHEN (id + k) % 3 <> 0 THEN {NOW} - id * 60000 END AS last FROM c, (VALUES (0, 'checkpoint', 3600000), (1, 'reconcile', 21600000), (2, 'presence', 86400000)) t(k, task, period))")
@@ -606,3 +593,5 @@ def dup_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 assert set(IN_GROUP) <= set(STATES)
+
+from . import upkeep  # noqa: E402, F401  registers its queries here
