@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sentencepiece_codec, token_store
+from . import oracles, quality, sentencepiece_codec, token_store
 from .decontaminate import leaks
 from .html_extract import extract
 from .line_dedup import dedup_lines
@@ -64,13 +64,21 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """Spans as text: first-last,first-last."""
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return repeated_passages(table(spark, sf_dir, "documents")).withColumn("spans", spans)
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can express."""
+    base = [c.split()[0] for c in quality.FEATURES.split(", ")]
+    return op7_weak_supervision(spark, sf_dir).select("doc_id", *base)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_token_store": op2_token_store,
@@ -82,5 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sparse_suffixes": op9_sparse_suffixes,
     "op10_superminhash": op10_superminhash,
+    "quality_base_counts": quality_base_counts,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_sparse_suffixes": oracles.REPEATED_PASSAGES,
+    "op10_superminhash": oracles.NEAR_DUPLICATES,
+    "quality_base_counts": oracles.BASE_COUNTS,
 }
-ORACLE_SQL: dict[str, str] = {}
