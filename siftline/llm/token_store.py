@@ -31,6 +31,7 @@ KEY = 16
 #: Chunk keys that a task remembers, so as to send a payload that it meets again only once.
 REMEMBERED = 200_000
 
+_RECIPE = "part int, row long, doc_id long, start long, n_tokens long, root binary, keys binary"
 _OBJECT = "kind string, key binary, payload binary, doc_id long, n_tokens long, root binary"
 
 
@@ -233,7 +234,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/recipes")
+    return spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
 
 
 def _refs(recipes: DataFrame) -> DataFrame:
@@ -242,10 +243,33 @@ def _refs(recipes: DataFrame) -> DataFrame:
     return recipes.withColumn("pos", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("key", F.expr(f"substring(keys, pos * {KEY} + 1, {KEY})")).drop("keys")
 
 
+def _check_counts(spark: SparkSession, path: str) -> None:
+    """Raises an error unless each range has the documents and tokens that its manifest row says."""
+    recipes = _recipes(spark, path).groupBy("part").agg(F.count("*").alias("d"), F.sum("n_tokens").alias("t"))
+    manifest = spark.read.parquet(f"{path}/manifest").select("part", "n_docs", F.col("n_tokens").alias("tokens"))
+    wrong = manifest.join(recipes, "part", "full_outer").where(~(F.col("n_docs").eqNullSafe(F.col("d")) & F.col("tokens").eqNullSafe(F.col("t"))))
+    if bad := [r.part for r in wrong.select("part").orderBy("part").limit(10).collect()]:
+        raise ValueError(f"recipes do not match the manifest in ranges {bad}")
+
+
+def verify_manifest(spark: SparkSession, path: str) -> str:
+    """The Merkle root over all ranges, in hex, after each range's documents, tokens and root were taken from the
+    recipes anew and compared with its manifest row; an error where they differ. A range's roots are one task's, as when it
+    was written."""
+    _check_counts(spark, path)
+    own = _recipes(spark, path).select("part", "n_tokens", "root", "row").groupBy("part").applyInArrow(_part_manifest, "part int, n_docs long, n_tokens long, root binary")
+    said = spark.read.parquet(f"{path}/manifest").select("part", F.col("root").alias("said"))
+    rows = said.join(own.select("part", "root"), "part", "full_outer").orderBy("part").collect()  # one for each range
+    if bad := [r.part for r in rows if r.root != r.said]:
+        raise ValueError(f"recipes do not match the manifest in ranges {bad[:10]}")
+    return merkle([bytes(r.root) for r in rows]).hex()
+
+
 def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian 32-bit integers) of each document, all
-    read from the store's files and verified: every chunk against its key, every document against its Merkle
-    root and count. A chunk is read once; documents get their checksum from those of their chunks."""
+    read from the store's files and verified: every range's counts against the manifest (its root by ``verify_manifest``),
+    every chunk against its key, every document against its Merkle root and count. A chunk is read once; documents get their checksum from those of their chunks."""
+    _check_counts(spark, path)
     chunks = spark.read.schema(_OBJECT).parquet(f"{path}/objects").where("kind = 'chunk'").select("key", "payload")
     chunks = chunks.mapInArrow(partial(_read_chunks, width=width), "key binary, n long, crc long")
     refs = _refs(_recipes(spark, path)).join(stored(chunks, "chunks"), "key", "left")
