@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import oracles, quality, sentencepiece_codec, token_store
 from .decontaminate import leaks
+from .fill_middle import rearrange, restore
 from .html_extract import extract
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
@@ -73,6 +74,12 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = restore(rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op7 that SQL can express."""
     base = [c.split()[0] for c in quality.FEATURES.split(", ")]
@@ -90,10 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sparse_suffixes": op9_sparse_suffixes,
     "op10_superminhash": op10_superminhash,
+    "op13_fill_middle": op13_fill_middle,
     "quality_base_counts": quality_base_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_sparse_suffixes": oracles.REPEATED_PASSAGES,
     "op10_superminhash": oracles.NEAR_DUPLICATES,
+    "op13_fill_middle": oracles.FILL_MIDDLE,
     "quality_base_counts": oracles.BASE_COUNTS,
 }
