@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import oracles, quality, sentencepiece_codec, token_store
 from .decontaminate import leaks
 from .fill_middle import rearrange, restore
+from .hard_negatives import hard_negatives
 from .html_extract import extract
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
@@ -74,6 +75,12 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = restore(rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
@@ -97,12 +104,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sparse_suffixes": op9_sparse_suffixes,
     "op10_superminhash": op10_superminhash,
+    "op12_vector_approximation": op12_vector_approximation,
     "op13_fill_middle": op13_fill_middle,
     "quality_base_counts": quality_base_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_sparse_suffixes": oracles.REPEATED_PASSAGES,
     "op10_superminhash": oracles.NEAR_DUPLICATES,
+    "op12_vector_approximation": oracles.HARD_NEGATIVES,
     "op13_fill_middle": oracles.FILL_MIDDLE,
     "quality_base_counts": oracles.BASE_COUNTS,
 }

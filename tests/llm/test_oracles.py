@@ -12,7 +12,8 @@ SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches(spark, name):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF), duck.sql(ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     names = sorted(got.columns)
