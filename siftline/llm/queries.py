@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, quality, sentencepiece_codec, token_store
+from . import factorisation, oracles, quality, sentencepiece_codec, token_store
 from .decontaminate import leaks
 from .fill_middle import rearrange, restore
 from .hard_negatives import hard_negatives
@@ -75,6 +75,18 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a document's label is kept from training."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def op11_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = factorisation.train(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return factorisation.score(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", predicted)
+
+
 def op12_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -104,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sparse_suffixes": op9_sparse_suffixes,
     "op10_superminhash": op10_superminhash,
+    "op11_factorisation_machine": op11_factorisation_machine,
     "op12_vector_approximation": op12_vector_approximation,
     "op13_fill_middle": op13_fill_middle,
     "quality_base_counts": quality_base_counts,
