@@ -1,16 +1,15 @@
-"""File events as streams: the operations of ``operators.events`` with state and watermarks.
+"""File events as streams: renames by a join with watermarks, and micro-batches that are applied to the catalog. Streams with
+state of their own are in ``state``.
 
 Streams of halves of renames are (ts timestamp, seq, kind, cookie, path); streams of events are (ts, seq, kind, path)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def pair_renames(halves: DataFrame, window: str = "2 seconds", late: str = "5 seconds") -> DataFrame:
@@ -26,41 +25,6 @@ def pair_renames(halves: DataFrame, window: str = "2 seconds", late: str = "5 se
     return both.select(kind.alias("kind"), F.coalesce("s1", "s2").alias("seq"), "from_path", "path")
 
 
-_RUN = "path string, kind string, first_ms long, seq long, dropped long"
-
-
-def _runs(window_ms: int) -> Callable:
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        path, kind = key
-        first, last, n = state.get if state.exists else (None, None, 0)
-        out = []
-        rows = sorted((int(t), int(s)) for b in batches for t, s in zip(b["ts_ms"], b["seq"], strict=True))
-        for ms, seq in rows:
-            if first is not None and ms - first >= window_ms:
-                out.append((path, kind, first, last, n - 1))
-                first, n = None, 0
-            first, last, n = ms if first is None else first, seq, n + 1
-        if state.hasTimedOut or (first is not None and state.getCurrentWatermarkMs() >= first + window_ms):
-            if first is not None:
-                out.append((path, kind, first, last, n - 1))
-            if state.exists:
-                state.remove()
-        elif first is not None:
-            state.update((first, last, n))
-            state.setTimeoutTimestamp(max(first + window_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["path", "kind", "first_ms", "seq", "dropped"])
-
-    return step
-
-
-def coalesce_bursts(events: DataFrame, window_ms: int = 1000, late: str = "5 seconds") -> DataFrame:
-    """Equal events of a path within the window of the first of their run become the last of them; a run comes out when
-    the watermark passes its window. State is three numbers for each path and kind, however long a burst is."""
-    rows = events.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
-    state = "first_ms long, last long, n long"
-    return rows.groupBy("path", "kind").applyInPandasWithState(_runs(window_ms), _RUN, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def apply_events(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, **trigger: object) -> StreamingQuery:
     """Hands each micro-batch of events, with its number, to ``apply``, which publishes the catalog's next snapshot. A batch
     comes again after a failure, so ``apply`` must leave a number out that it has published."""

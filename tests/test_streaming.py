@@ -32,13 +32,6 @@ def events(spark, n=400):
     return spark.range(n).select(F.col("id").alias("seq"), F.timestamp_millis(F.lit(1_700_000_000_000) + (F.col("id") * 7919 % 60_000)).alias("ts"), F.expr("if(id % 2 = 0, 'modified', 'closed')").alias("kind"), F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("path"))
 
 
-def test_bursts(spark, stream):
-    rows = events(spark)
-    got = stream(rows, "seq long, ts timestamp, kind string, path string", "bursts", lambda s: watch.coalesce_bursts(s, 1000, "2 minutes"))
-    want = E.coalesce_bursts(rows.withColumn("ts_ms", F.unix_millis("ts")), 1000).select("path", "kind", "first_ms", "seq", "dropped")
-    assert sorted(got) == sorted(tuple(r) for r in want.collect())
-
-
 def test_renames(spark, stream):
     rows = events(spark, 200).where("seq % 7 <> 0").select("seq", "ts", F.expr("if(seq % 2 = 0, 'from', 'to')").alias("kind"), F.expr("seq div 2").alias("cookie"), "path")
     got = stream(rows, "seq long, ts timestamp, kind string, cookie long, path string", "renames", lambda s: watch.pair_renames(s, "20 seconds", "2 minutes"))
