@@ -18,9 +18,13 @@ def segments(size: Column, chunks: int, length: int, align: int = 4096) -> Colum
 
 
 def sparse_hash(content: Column, size: Column, chunks: int, length: int, align: int = 4096) -> Column:
+    """``sparse_hash_of_bytes`` of a text in UTF-8."""
+    return sparse_hash_of_bytes(F.encode(content, "UTF-8"), size, chunks, length, align)
+
+
+def sparse_hash_of_bytes(bytes_: Column, size: Column, chunks: int, length: int, align: int = 4096) -> Column:
     """SHA-256 of the parameters, the size and the bytes (as hex) of each segment with its offset; only these are read."""
     take = F.when(size <= chunks * length, size).otherwise(F.lit(length))
-    bytes_ = F.encode(content, "UTF-8")
     part = lambda o: F.concat(o.cast("string"), F.lit(":"), F.hex(F.substring(bytes_, (o + 1).cast("int"), take.cast("int"))))
     parts = F.array_join(F.transform(segments(size, chunks, length, align), part), ";")
     return F.sha2(F.concat(F.lit(f"v1|{chunks}|{length}|"), size.cast("string"), F.lit("|"), parts), 256)
@@ -37,8 +41,12 @@ def remote_key(root_id: Column, path: Column) -> tuple[Column, Column]:
 
 def first_difference(a: Column, b: Column) -> Column:
     """The first byte (from 0) at which two texts in UTF-8 differ, the shorter length if one begins the other, null if they
-    are equal: a binary search over prefixes."""
-    a, b = F.encode(a, "UTF-8"), F.encode(b, "UTF-8")
+    are equal."""
+    return first_different_byte(F.encode(a, "UTF-8"), F.encode(b, "UTF-8"))
+
+
+def first_different_byte(a: Column, b: Column) -> Column:
+    """``first_difference`` of two binaries: a binary search over prefixes."""
     n = F.least(F.octet_length(a), F.octet_length(b))
     lo = F.aggregate(
         F.sequence(F.lit(0), F.lit(30)),

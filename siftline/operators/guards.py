@@ -65,8 +65,9 @@ class Session:
     def abort(self) -> None:
         self.root, self.parts = None, []
 
-    def finish(self, files: DataFrame, root: int, scan_id: int) -> DataFrame:
-        """The rows that vanish. Another root than the one that was begun is an error and leaves the scan open."""
+    def finish(self, files: DataFrame, root: int, scan_id: int, verdicts: DataFrame) -> DataFrame:
+        """The rows that vanish: none unless ``verdicts`` (root_id, blocked, as ``verdict`` gives them) has this root and does not block it. Another
+        root than the one that was begun is an error and leaves the scan open."""
         from .catalog import presence
 
         if self.root is None or root != self.root:
@@ -75,4 +76,5 @@ class Session:
         for p in self.parts:
             keys = keys.union(p)
         self.abort()
-        return presence(files, keys.distinct(), root, scan_id)
+        free = verdicts.where("blocked is null").select("root_id").distinct()
+        return presence(files.join(free, "root_id", "left_semi"), keys.distinct(), root, scan_id)

@@ -594,4 +594,4 @@ def dup_report(spark: SparkSession, d: str) -> DataFrame:
 
 assert set(IN_GROUP) <= set(STATES)
 
-from . import changes, upkeep  # noqa: E402, F401  register their queries here
+from . import changes, content, upkeep  # noqa: E402, F401  register their queries here

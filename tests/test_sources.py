@@ -42,7 +42,7 @@ def test_walk_in_branches_and_after_a_cursor(spark, tree):
 def test_errors_are_rows(spark, tmp_path):
     assert walk.mount_points("1 2 0:1 / /mnt/a\\040b rw\nshort") == {"/mnt/a b"}
     reader = walk.TreeReader({"path": str(tmp_path)})
-    row = next(reader.read(walk.Entry("gone")))
+    row = next(reader.read(walk.Unit([("gone", False, -1, 1)])))
     assert row[0] == "gone" and row[-1] == 2 and len(row) == len(walk.SCHEMA.split(", "))
 
 
@@ -77,6 +77,7 @@ def test_texts(spark):
 def test_presence_session(spark):
     s = guards.Session()
     files = spark.createDataFrame([("1", 1, 1, "sized", 5), ("1", 2, 1, "sized", 5), ("1", 3, 1, "gone", 5)], "sub_id string, ino long, root_id int, state string, updated_at long").selectExpr("*", "ino AS id")
+    free = spark.createDataFrame([(1, None), (2, None)], "root_id int, blocked string")
     with pytest.raises(ValueError):
         s.seen(files)
     s.begin(1)
@@ -84,12 +85,16 @@ def test_presence_session(spark):
         s.begin(2)
     s.seen(files.where("ino = 1"))
     with pytest.raises(ValueError):
-        s.finish(files, 2, 10)
-    assert [r.id for r in s.finish(files, 1, 10).collect()] == [2]
+        s.finish(files, 2, 10, free)
+    assert [r.id for r in s.finish(files, 1, 10, free).collect()] == [2]
     s.begin(2)
     s.abort()
     with pytest.raises(ValueError):
-        s.finish(files, 2, 10)
+        s.finish(files, 2, 10, free)
+    for blocked in (spark.createDataFrame([(1, "too_few")], "root_id int, blocked string"), free.where("root_id = 2"), free.limit(0)):
+        s.begin(1)
+        s.seen(files.where("false"))
+        assert s.finish(files, 1, 10, blocked).collect() == []
 
 
 def test_config():
