@@ -77,8 +77,8 @@ def effects(events: DataFrame, files: DataFrame, stat: DataFrame, excluded: list
     vanish = by_status("to", take, look, _list("missing_at", "missing_under"))
     # At the source of a move: its own file there, if another has come, is told by that file's event.
     source_shut = F.coalesce(in_excluded_dir(F.col("from_path"), excluded), F.lit(False))
-    source_gone = by_status("source", _list("upsert_source"), F.when(source_shut, _list()).otherwise(_list("walk_source")), _list("missing_source", "missing_under_source"))
-    clean = F.when(status("source") == "gone", _list("missing_source", "missing_under_source")).otherwise(_list())
+    source_gone = by_status("source", _list("upsert_source"), F.when(source_shut, _list()).otherwise(_list("walk_source")), _list("missing_at_source", "missing_under_source"))
+    clean = F.when(status("source") == "gone", _list("missing_at_source", "missing_under_source")).otherwise(_list())
     prefix = F.when(F.col("below") > 0, _list("rename_prefix")).otherwise(_list("walk"))
     restored = F.when(F.col("row.state") == "missing", _list("rename", "restore")).otherwise(_list("rename"))
     whole = F.coalesce(F.col("from_path") == "", F.lit(False))
