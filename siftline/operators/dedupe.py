@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import full_hash, sparse_hash
+from ..session import stored
 
-ELECTION = ("mtime_ns", "first_seen_at", "ino", "id")
+def election() -> Column:
+    """What a group's canonical file has least of; inode numbers are unsigned."""
+    return F.struct("mtime_ns", "first_seen_at", F.col("ino").bitwiseXOR(F.lit(-(1 << 63))).alias("ino"), "id")
 
 
 def live() -> Column:
@@ -43,15 +46,19 @@ def pending_same_size(files: DataFrame) -> DataFrame:
 def content_groups(files: DataFrame, chunks: int, length: int, align: int = 1) -> DataFrame:
     """Members of groups of equal content: id, size, sparse_hash, group_id (the canonical member's id), is_canonical.
 
-    The sparse hash narrows and the full digest decides, for size peers only. A group takes the least
+    The sparse hash narrows and the full digest decides. Contents are read twice and never shuffled but for the files whose (domain, size, sparse hash)
+    another has: one pass takes the sparse hash and writes narrow rows, one takes the digest of those files. A group takes the least
     (mtime, first seen, ino, id) as canonical. Elected by an aggregate and a join on the key: a class of any size meets
     one row per task."""
-    peers = size_peers(files).withColumn("sparse_hash", sparse_hash(F.col("content"), F.col("size"), chunks, length, align))
-    classes = peers.groupBy("domain_id", "size", "sparse_hash").count().where("count > 1")
-    hashed = peers.join(classes, ["domain_id", "size", "sparse_hash"], "left_semi").withColumn("digest", full_hash(F.col("content")))
-    hashed = hashed.select("id", "ino", "root_id", "owner_uid", "state", "domain_id", "size", "mtime_ns", "first_seen_at", "sparse_hash", "digest")
+    hash_ = sparse_hash(F.col("content"), F.col("size"), chunks, length, align).alias("sparse_hash")
+    narrow = ["id", "ino", "root_id", "owner_uid", "state", "domain_id", "size", "mtime_ns", "first_seen_at"]
+    rows = stored(files.where(live()).select(*narrow, hash_), "sparse")
+    classes = rows.groupBy("domain_id", "size", "sparse_hash").count().where("count > 1")
+    twins = stored(rows.join(classes, ["domain_id", "size", "sparse_hash"], "left_semi"), "twins")
+    digests = files.join(twins.select("id"), "id", "left_semi").select("id", full_hash(F.col("content")).alias("digest"))
+    hashed = stored(twins.join(digests, "id"), "digests")
     key = ["domain_id", "size", "sparse_hash", "digest"]
-    best = hashed.groupBy(*key).agg(F.min(F.struct(*ELECTION)).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = hashed.groupBy(*key).agg(F.min(election()).alias("best"), F.count("*").alias("n")).where("n > 1")
     out = hashed.join(best.select(*key, F.col("best.id").alias("group_id")), key)
     return out.withColumn("is_canonical", F.col("id") == F.col("group_id")).drop("digest")
 
@@ -83,7 +90,7 @@ def totals(groups: DataFrame) -> DataFrame:
 
 def reelect(files: DataFrame) -> DataFrame:
     """The deduped member that becomes canonical of each stored group."""
-    best = files.where("state = 'deduped' and group_id is not null").groupBy("group_id").agg(F.min(F.struct(*ELECTION)).alias("b"))
+    best = files.where("state = 'deduped' and group_id is not null").groupBy("group_id").agg(F.min(election()).alias("b"))
     return best.select("group_id", F.col("b.id").alias("canonical_id"))
 
 

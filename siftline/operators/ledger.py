@@ -75,3 +75,18 @@ def walk_queue(folders: DataFrame, room: int = 4096) -> DataFrame:
     n = each.groupBy("root_id").agg(F.count("*").alias("n_dirs"))
     some = n.where(F.col("n_dirs") <= room).join(each, "root_id").select("root_id", "n_dirs", F.lit(False).alias("whole"), "dir")
     return some.union(n.where(F.col("n_dirs") > room).select("root_id", "n_dirs", F.lit(True).alias("whole"), F.lit("").alias("dir")))
+
+
+def upsert_roots(roots: DataFrame, listed: DataFrame) -> DataFrame:
+    """root_id, path, kind, label and active after the configuration lists roots (path, kind, label).
+
+    A path that is known keeps its id and takes the new kind and label (a missing label leaves the old one); new paths get the ids that follow, in
+    order of their paths. Roots that are not listed any more stay, inactive, since files still name them. Of paths listed twice the least kind counts."""
+    new = listed.groupBy("path").agg(F.min(F.struct("kind", "label")).alias("n"))
+    both = roots.select("root_id", "path", "kind", "label").join(new, "path", "full")
+    most = roots.agg(F.max("root_id")).first()[0] or 0
+    fresh = F.col("root_id").isNull()
+    place = F.sum(fresh.cast("long")).over(Window.orderBy("path"))  # configured roots are few
+    out = both.withColumn("place", place)
+    id_ = F.when(fresh, most + F.col("place")).otherwise(F.col("root_id")).cast("long")
+    return out.select(id_.alias("root_id"), "path", F.coalesce("n.kind", "kind").alias("kind"), F.coalesce("n.label", "label").alias("label"), F.col("n").isNotNull().alias("active"))

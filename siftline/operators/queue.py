@@ -16,7 +16,7 @@ from ..functions.scalars import backoff_ms, div, has_special_mode
 from ..schema import DAY, QUEUED
 from ..session import stored
 from . import verify
-from .dedupe import ELECTION
+from .dedupe import election
 from .steps import KEY
 
 MOST_ATTEMPTS = 8
@@ -179,8 +179,8 @@ class _Round:
         unhashed = self.bare().select("domain_id", "size").distinct().withColumn("_bare", F.lit(True))
         sound = ~self.gone & ~self.changed & (F.col("nlink") == 1)
         candidates = files.where(((F.col("state") == "distinct") | self.sized) & F.col("hash").isNotNull() & sound)
-        elected = candidates.groupBy(*KEY).agg(F.count("*").alias("_n"), F.min(F.struct(*ELECTION)).alias("_best")).select(*KEY, "_n", F.col("_best.id").alias("_first"))
-        heirs = ready.where(~self.gone & ~self.changed & ~F.col("seen.error")).groupBy(*KEY).agg(F.min(F.struct(*ELECTION)).alias("_h")).select(*KEY, F.col("_h.id").alias("_heir"))
+        elected = candidates.groupBy(*KEY).agg(F.count("*").alias("_n"), F.min(election()).alias("_best")).select(*KEY, "_n", F.col("_best.id").alias("_first"))
+        heirs = ready.where(~self.gone & ~self.changed & ~F.col("seen.error")).groupBy(*KEY).agg(F.min(election()).alias("_h")).select(*KEY, F.col("_h.id").alias("_heir"))
         free = ready.unionByName(files.where((F.col("state") == "distinct") & F.col("hash").isNotNull()))
         both = free.join(known, list(KEY), "left").join(pending, ["domain_id", "size"], "left").join(unhashed, ["domain_id", "size"], "left").join(elected, list(KEY), "left").join(heirs, list(KEY), "left")
         base = (groups.agg(F.max("group_id")).first()[0] or 0) + 1
@@ -217,7 +217,7 @@ class _Round:
         lost = F.col("_member").isNull() | (F.col("_member") != F.col("group_id")) | F.col("_dead") | F.col("_off")
         both = both.withColumn("_lost", F.coalesce(lost, F.lit(True)) & F.col("_there").isNotNull())
         usable = ~self.gone & ~self.changed & ~F.col("seen.error") & (F.col("nlink") == 1) & ~self.special
-        heirs = both.where(F.col("_lost") & usable).groupBy("group_id").agg(F.min(F.struct(*ELECTION)).alias("_h")).select("group_id", F.col("_h.id").alias("_heir"))
+        heirs = both.where(F.col("_lost") & usable).groupBy("group_id").agg(F.min(election()).alias("_h")).select("group_id", F.col("_h.id").alias("_heir"))
         steps = _cases(
             both.join(heirs, "group_id", "left"),
             [

@@ -15,8 +15,10 @@ from ..operators import dedupe as D
 from ..operators import events as E
 from ..operators import filters as P
 from ..operators import groups as G
+from ..operators import ledger as L
+from ..operators import prefixes as T
 from ..operators import recovery as R
-from ..schema import EXCLUDED, EXTENSIONS, IN_GROUP, QUEUED, RULES, STATES
+from ..schema import ERRNO_POLICY, EXCLUDED, EXTENSIONS, IN_GROUP, QUEUED, RULES, STATES
 from ..sources import catalog as S
 
 NOW, CHUNKS, LENGTH, MIN_SIZE = S.NOW, 4, 64, 200
@@ -90,32 +92,49 @@ def special_mode(spark, d):
     return _files(spark, d).select("id", (F.col("nlink") > 1).alias("hardlink"), X.has_special_mode(F.col("mode").cast("int")).alias("special"), X.is_directory(F.col("mode").cast("int")).alias("folder"))
 
 
-_HEADS = "(VALUES ('mp4', '0000002066747970'), ('mov', '000000206D6F6F76'), ('mp4', '6162636465666768'), ('mkv', '1A45DFA3'), ('webm', '00'), ('avi', '52494646000000004156492000'), ('avi', '52494646000000005741564500'), ('mpg', '000001BA'), ('mxf', '00060E2B34020501010D010200'), ('mxf', '0060E2B34020501010D01020'), ('r3d', '00'), ('wmv', '3026B2758E66CF11A6D900AA0062CE6C'))"
+# Beginnings of files, as hex, by turns of the catalog's rows.
+_HEADS = (
+    ("mp4", "0000002066747970"), ("mov", "000000206D6F6F76"), ("mp4", "6162636465666768"), ("mkv", "1A45DFA3"), ("webm", "00"), ("avi", "52494646000000004156492000"),
+    ("avi", "52494646000000005741564500"), ("mpg", "000001BA"), ("mxf", "00060E2B34020501010D010200"), ("mxf", "0060E2B34020501010D01020"), ("r3d", "00"), ("wmv", "3026B2758E66CF11A6D900AA0062CE6C"),
+)
+_HEAD = f"SELECT id, [{_list(e for e, _ in _HEADS)}][id % {len(_HEADS)} + 1] AS ext, [{_list(h for _, h in _HEADS)}][id % {len(_HEADS)} + 1] || hex(encode('' || id)) AS head FROM c"
 
 
 @query(
-    f"SELECT ext, head, CASE WHEN ok THEN 'match' WHEN NOT ok THEN 'mismatch' ELSE 'unchecked' END AS verdict FROM (SELECT ext, head, CASE WHEN ext IN ('mp4', 'mov') THEN substring(head, 9, 8) IN ('66747970', '6D6F6F76') WHEN ext IN ('mkv', 'webm') THEN starts_with(head, '1A45DFA3') WHEN ext = 'avi' THEN starts_with(head, '52494646') AND substring(head, 17, 8) = '41564920' WHEN ext = 'mpg' THEN starts_with(head, '000001BA') WHEN ext = 'wmv' THEN starts_with(head, '3026B275') WHEN ext = 'mxf' THEN instr(head, '060E2B34020501010D0102') % 2 = 1 END AS ok FROM {_HEADS} AS h(ext, head))"
+    f"""SELECT id, CASE WHEN ok THEN 'match' WHEN NOT ok THEN 'mismatch' ELSE 'unchecked' END AS verdict FROM (SELECT id, CASE WHEN ext IN ('mp4', 'mov') THEN substring(head, 9, 8) IN ('66747970', '6D6F6F76')
+  WHEN ext IN ('mkv', 'webm') THEN starts_with(head, '1A45DFA3') WHEN ext = 'avi' THEN starts_with(head, '52494646') AND substring(head, 17, 8) = '41564920' WHEN ext = 'mpg' THEN starts_with(head, '000001BA')
+  WHEN ext = 'wmv' THEN starts_with(head, '3026B2758E66CF11A6D900AA0062CE6C') WHEN ext = 'mxf' THEN instr(head, '060E2B34020501010D0102') % 2 = 1 END AS ok FROM ({_HEAD}))"""
 )
 def magic_check(spark, d):
-    return spark.sql(f"SELECT * FROM {_HEADS} AS h(ext, head)").select("ext", "head", P.magic_verdict(F.col("ext"), F.col("head")).alias("verdict"))
+    pick = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in _HEADS)), (F.col("id") % len(_HEADS) + 1).cast("int"))
+    head = F.concat(pick(1), F.hex(F.encode(F.col("id").cast("string"), "UTF-8")))
+    return _files(spark, d).select("id", P.magic_verdict(pick(0), head).alias("verdict"))
 
 
 # Scalars
 
-_SIZES = "(VALUES ('64MiB'), ('500 GiB'), ('1024'), ('7kb'), ('3x'), (''), ('1 T'), ('12b'))"
+# Units after a number, some of them none.
+_UNITS = ("MiB", " GiB", "", "kb", "x", " T", "b", "K ", "tib", "-")
+_SPANS = ("m", "h", "ms", "d", "", " min", "w", " hr", "S", "day ")
+_PARTS = "lower(trim(regexp_extract(t, '^\\s*([0-9]+)\\s*([a-zA-Z]*)\\s*$', 2)))", "TRY_CAST(regexp_extract(t, '^\\s*([0-9]+)\\s*([a-zA-Z]*)\\s*$', 1) AS BIGINT)"
 
 
-@query(f"SELECT t, CASE lower(regexp_extract(t, '^\\s*([0-9]+)\\s*([a-zA-Z]*)\\s*$', 2)) WHEN 'mib' THEN 1048576 WHEN 'gib' THEN 1073741824 WHEN '' THEN 1 WHEN 'kb' THEN 1024 WHEN 't' THEN 1099511627776 WHEN 'b' THEN 1 END * TRY_CAST(regexp_extract(t, '^\\s*([0-9]+)\\s*([a-zA-Z]*)\\s*$', 1) AS BIGINT) AS bytes FROM {_SIZES} AS v(t)")
+@query(
+    f"""SELECT id, CASE {_PARTS[0]} WHEN 'mib' THEN 1048576 WHEN 'gib' THEN 1073741824 WHEN '' THEN 1 WHEN 'kb' THEN 1024 WHEN 'k' THEN 1024 WHEN 't' THEN 1099511627776 WHEN 'tib' THEN 1099511627776 WHEN 'b' THEN 1 END
+  * {_PARTS[1]} AS bytes FROM (SELECT id, id % 977 || [{_list(_UNITS)}][id % 10 + 1] AS t FROM c)"""
+)
 def parse_bytes(spark, d):
-    return spark.sql(f"SELECT * FROM {_SIZES} AS v(t)").select("t", X.parse_bytes(F.col("t")).alias("bytes"))
-
-
-_DURATIONS = "(VALUES ('15m'), ('6h'), ('500ms'), ('7d'), ('30'), ('2 min'), ('1w'), ('9 hr'))"
+    unit = F.element_at(F.array(*(F.lit(u) for u in _UNITS)), (F.col("id") % 10 + 1).cast("int"))
+    return _files(spark, d).select("id", X.parse_bytes(F.concat((F.col("id") % 977).cast("string"), unit)).alias("bytes"))
 
 
-@query(f"SELECT t, CASE lower(regexp_extract(t, '^\\s*([0-9]+)\\s*([a-zA-Z]*)\\s*$', 2)) WHEN 'm' THEN 60000 WHEN 'min' THEN 60000 WHEN 'h' THEN 3600000 WHEN 'hr' THEN 3600000 WHEN 'ms' THEN 1 WHEN 'd' THEN 86400000 WHEN '' THEN 1000 END * TRY_CAST(regexp_extract(t, '^\\s*([0-9]+)\\s*([a-zA-Z]*)\\s*$', 1) AS BIGINT) AS ms FROM {_DURATIONS} AS v(t)")
+@query(
+    f"""SELECT id, CASE {_PARTS[0]} WHEN 'm' THEN 60000 WHEN 'min' THEN 60000 WHEN 'h' THEN 3600000 WHEN 'hr' THEN 3600000 WHEN 'ms' THEN 1 WHEN 'd' THEN 86400000 WHEN 'day' THEN 86400000 WHEN '' THEN 1000 WHEN 's' THEN 1000 END
+  * {_PARTS[1]} AS ms FROM (SELECT id, id % 977 || [{_list(_SPANS)}][id % 10 + 1] AS t FROM c)"""
+)
 def parse_duration(spark, d):
-    return spark.sql(f"SELECT * FROM {_DURATIONS} AS v(t)").select("t", X.parse_duration_ms(F.col("t")).alias("ms"))
+    unit = F.element_at(F.array(*(F.lit(u) for u in _SPANS)), (F.col("id") % 10 + 1).cast("int"))
+    return _files(spark, d).select("id", X.parse_duration_ms(F.concat((F.col("id") % 977).cast("string"), unit)).alias("ms"))
 
 
 @query("SELECT id, CASE WHEN n % 1048576 = 0 AND n > 0 THEN (n // 1048576) || 'MiB' WHEN n % 1024 = 0 AND n > 0 THEN (n // 1024) || 'KiB' ELSE n || 'B' END AS bytes, CASE WHEN m % 3600000 = 0 AND m > 0 AND m < 86400000 THEN (m // 3600000) || 'h' WHEN m % 86400000 = 0 AND m > 0 THEN (m // 86400000) || 'd' WHEN m % 60000 = 0 AND m > 0 THEN (m // 60000) || 'm' ELSE m || 'ms' END AS duration FROM (SELECT id, id * 256 AS n, id % 25 * 1200000 AS m FROM c)")
@@ -327,8 +346,7 @@ def root_progress(spark, d):
 @query("SELECT c.id, arg_max(r.root_id, length(r.path)) AS root_id FROM (SELECT id, '/volume1/video/' || rel_path AS p FROM c) c JOIN r ON p = r.path OR starts_with(p, r.path || '/') GROUP BY 1")
 def owning_root(spark, d):
     f = _files(spark, d).select("id", F.concat(F.lit("/volume1/video/"), "rel_path").alias("p"))
-    j = f.join(F.broadcast(S.roots(spark).withColumnRenamed("path", "rp")), F.expr("p = rp or startswith(p, rp || '/')"))
-    return j.groupBy("id").agg(F.max_by("root_id", F.length("rp")).alias("root_id"))
+    return T.deepest(f, "p", S.roots(spark).select("root_id", "path"), "path").where("root_id is not null").select("id", "root_id")
 
 
 # Changes
@@ -407,11 +425,18 @@ def next_ready(spark, d):
     return C.next_ready(_files(spark, d), NOW, 50, 3_600_000).select("id", "priority", "ready_at")
 
 
-@query("SELECT kind, path, max(added) AS added FROM (SELECT path, kind, 1 AS added FROM r UNION ALL SELECT '/mnt/new', 'remote', 2 UNION ALL SELECT path, kind, 0 FROM r) GROUP BY 1, 2")
+_LISTED = "n AS (SELECT '/volume1/' || lang AS path, 'local' AS kind, max(source) AS label FROM documents GROUP BY lang UNION ALL SELECT '/mnt/far', 'remote', 'there')"
+
+
+@query(
+    """SELECT CASE WHEN r.root_id IS NULL THEN 3 + row_number() OVER (PARTITION BY r.root_id IS NULL ORDER BY n.path) ELSE r.root_id END AS root_id, coalesce(n.path, r.path) AS path,
+  coalesce(n.kind, r.kind) AS kind, coalesce(n.label, r.label) AS label, n.path IS NOT NULL AS active FROM r FULL JOIN n ON n.path = r.path""",
+    _LISTED,
+)
 def root_upsert(spark, d):
-    r = S.roots(spark).select("path", "kind")
-    rows = r.withColumn("added", F.lit(1)).union(spark.sql("SELECT '/mnt/new', 'remote', 2")).union(r.withColumn("added", F.lit(0)))
-    return rows.groupBy("kind", "path").agg(F.max("added").alias("added"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    listed = docs.groupBy(F.concat(F.lit("/volume1/"), "lang").alias("path"), F.lit("local").alias("kind")).agg(F.max("source").alias("label"))
+    return L.upsert_roots(S.roots(spark), listed.union(spark.sql("SELECT '/mnt/far', 'remote', 'there'")))
 
 
 # Presence
@@ -470,13 +495,15 @@ def transition_audit(spark, d):
     return f.join(F.broadcast(rules), ["prev_state", "state"], "left").select("id", "prev_state", "state", "reason", F.col("reason").isNotNull().alias("legal"))
 
 
-@query("SELECT errno, CASE errno WHEN 4 THEN 'retry_now' WHEN 95 THEN 'park_domain' WHEN 18 THEN 'pair_impossible' WHEN 13 THEN 'backoff_alert' WHEN 5 THEN 'backoff' WHEN 9 THEN 'fail' ELSE 'backoff' END AS policy FROM (VALUES (4), (95), (18), (13), (5), (9), (77)) v(errno)")
-def errno_policy(spark, d):
-    from ..schema import ERRNO_POLICY
+_POLICIES = ", ".join(f"({n}, '{p}')" for n, p in ERRNO_POLICY)
+
 
-    table = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({n}, '{p}')" for n, p in ERRNO_POLICY) + " AS t(errno, policy)")
-    errors = spark.sql("SELECT * FROM VALUES (4), (95), (18), (13), (5), (9), (77) AS v(errno)")
-    return errors.join(F.broadcast(table), "errno", "left").select("errno", F.coalesce("policy", F.lit("backoff")).alias("policy"))
+@query(f"SELECT id, CAST(id % 120 AS INT) AS errno, coalesce(p.policy, 'backoff') AS policy FROM c LEFT JOIN (VALUES {_POLICIES}) p(errno, policy) ON p.errno = id % 120")
+def errno_policy(spark, d):
+    """What follows from an error number; each file's is taken from its id."""
+    table = spark.sql(f"SELECT * FROM VALUES {_POLICIES} AS t(errno, policy)")
+    errors = _files(spark, d).select("id", (F.col("id") % 120).cast("int").alias("errno"))
+    return errors.join(F.broadcast(table), "errno", "left").select("id", "errno", F.coalesce("policy", F.lit("backoff")).alias("policy"))
 
 
 @query("SELECT id, (m >= 1320 OR m < 300) AS heavy, CASE WHEN m >= 1320 OR m < 300 THEN 0 ELSE 1320 - m END AS wait_min FROM (SELECT id, id * 37 % 1440 AS m FROM c)")
