@@ -3,7 +3,11 @@
 Words are canonicalised: numbers, names and units become typed placeholders, other words lose case and outer
 punctuation. Windows of five such words are hash-joined with those of the benchmark's items; a document
 that has three quarters of an item's windows is then compared word by word, and it is contaminated if the values
-that stand in each slot change consistently (or not at all)."""
+that stand in each slot change consistently (or not at all).
+
+Capitals make a name, so a copy in other capitals has other templates, and items of numbers and names have hardly any.
+Windows of the words themselves, without case, are therefore joined beside the templates; a document with three
+quarters of those of an item holds it as it is."""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ UNITS = (
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _KIND = K.mix(np.arange(101, 105, dtype=K.U64))
+#: Keeps fingerprints of plain words apart from those of templates.
+_PLAIN = K.U64(0x6A09E667F3BCC909)
 
 _OUTER = np.zeros(256, bool)
 _OUTER[list(b"!\"'()*,-./:;<=>?[\\]^_`{|}~")] = True
@@ -108,12 +115,34 @@ def _windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate((fp[at], K.sequences(h, first)[short])), np.concatenate((doc[at], short)), np.concatenate((at, first[short]))
 
 
+def _plain_windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, number of its text) of the windows of words without case and outer punctuation, whatever they are;
+    a text of fewer words than a window has its whole sequence as one."""
+    low = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
+    for letter, same in (("ß", "ss"), ("ς", "σ")):  # letters whose capitals are those of others
+        low = pc.replace_substring(low, letter, same)
+    parts = []
+    for a, b, data, off in K.texts(low):
+        start, end, first = K.words(data, off)
+        h = K.span_hashes(data, *_core(data, start, end))
+        fp, whole = K.windows(h, first, WINDOW)
+        at, n = np.flatnonzero(whole), np.diff(first)
+        short = np.flatnonzero((n > 0) & (n < WINDOW))
+        doc = np.concatenate((np.repeat(np.arange(b - a), n)[at], short))
+        parts.append((K.mix(np.concatenate((fp[at], K.sequences(h, first)[short])) + _PLAIN), a + doc))
+    if not parts:
+        return np.zeros(0, K.U64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for a, _, data, off in K.texts(batch.column(1)):
             fp, item, _ = _windows(data, off)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + item)), K.longs(fp)], ["item_id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + item)), K.longs(fp), pa.array(np.zeros(len(fp), bool))], ["item_id", "fp", "plain"])
+        fp, item = _plain_windows(batch.column(1))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(item)), K.longs(fp), pa.array(np.ones(len(fp), bool))], ["item_id", "fp", "plain"])
 
 
 def _doc_windows(batches: Iterator[pa.RecordBatch], wanted: object) -> Iterator[pa.RecordBatch]:
@@ -125,6 +154,8 @@ def _doc_windows(batches: Iterator[pa.RecordBatch], wanted: object) -> Iterator[
     for batch in batches:
         for a, b, data, off in K.texts(batch.column(2)):
             fp, doc, _ = _windows(data, off)
+            plain, of = _plain_windows(batch.column(2).slice(a, b - a))
+            fp, doc = np.concatenate((fp, plain)), np.concatenate((doc, of))
             if known is not None:
                 maybe = bits[(fp >> K.U64(42)).astype(np.int64)]
                 fp, doc = fp[maybe], doc[maybe]
@@ -183,6 +214,15 @@ def compare(text: str, item: str) -> dict | None:
     return {"n_windows": n, "n_matched": matched, "n_slots": len(slots), "n_changed": changed, "kind": "reparameterised" if changed else "verbatim"}
 
 
+def same_words(text: str, item: str) -> dict | None:
+    """How ``text`` holds the words of ``item`` themselves, in any case; None if it has less than 75 % of their windows."""
+    own, found = (set(_plain_windows(pa.array([x]))[0].tolist()) for x in (item, text))
+    matched = len(own & found)
+    if not own or 100 * matched < PERCENT * len(own):
+        return None
+    return {"n_windows": len(own), "n_matched": matched, "n_slots": 0, "n_changed": 0, "kind": "verbatim"}
+
+
 _FOUND = "n_windows int, n_matched int, n_slots int, n_changed int, kind string"
 
 
@@ -190,7 +230,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _FOUND.split(", ")]
     types = [pa.int32()] * 4 + [pa.string()]
     for batch in batches:
-        got = [compare(t, i) for t, i in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        got = [compare(t, i) or same_words(t, i) for t, i in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
         keep = batch.select([0, 1, 2]).filter(pa.array([g is not None for g in got], pa.bool_()))
         got = [g for g in got if g]
         yield pa.RecordBatch.from_arrays([*keep.columns, *(pa.array([g[c] for g in got], t) for c, t in zip(names, types, strict=True))], ["doc_id", "t1", "item_id", *names])
@@ -201,25 +241,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, filtered: int = FILTERED) -> Da
     doc_id, t1 (a fingerprint of the text), item_id, n_windows (distinct windows of the item), n_matched,
     n_slots, n_changed, kind (verbatim or reparameterised).
 
-    A document holds an item if it has 75 % of the item's windows, with consistent slots. Items of fewer than five
-    words are one window; items with no window of two literal words (null and empty ones too) are never
-    found. doc_id may be null and rows may repeat: equal rows are one document; rows that share an item_id
+    A document holds an item if it has 75 % of the item's windows, with consistent slots, or 75 % of the windows of its
+    words themselves in any case (n_windows and n_matched then count those, and no slot). Items of fewer than five
+    words are one window; items without a word (null and empty ones) are never found. doc_id may be null and rows may repeat: equal rows are one document; rows that share an item_id
     are matched together, and each text of theirs is compared. Other columns are ignored; empty tables give no rows."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t1"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("item"))
     items = items.where("item_id is not null").distinct()
-    windows = stored(items.mapInArrow(_item_windows, "item_id long, fp long").distinct(), "item-windows")
-    sizes = windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    windows = stored(items.mapInArrow(_item_windows, "item_id long, fp long, plain boolean").distinct(), "item-windows")
+    sizes = windows.groupBy("item_id", "plain").agg(F.count("*").alias("n_windows"))
     wanted = windows.select("fp").distinct().limit(filtered + 1)
     known = None
     if wanted.count() <= filtered:
-        values = np.sort(np.array([r.fp for r in wanted.collect()], np.int64).view(K.U64))
+        values = np.sort(wanted.toArrow().column(0).to_numpy().astype(np.int64).view(K.U64))
         known = spark.sparkContext.broadcast(values)
     each = docs.mapInArrow(partial(_doc_windows, wanted=known), "doc_id long, t1 long, fp long")
-    held = each.join(small(windows), "fp").groupBy("doc_id", "t1", "item_id").agg(F.count_distinct("fp").alias("n"))
-    pairs = stored(held.join(small(sizes), "item_id").where(F.lit(100) * F.col("n") >= PERCENT * F.col("n_windows")).select("doc_id", "t1", "item_id"), "leaks")
+    held = each.join(small(windows), "fp").groupBy("doc_id", "t1", "item_id", "plain").agg(F.count_distinct("fp").alias("n"))
+    enough = held.join(small(sizes), ["item_id", "plain"]).where(F.lit(100) * F.col("n") >= PERCENT * F.col("n_windows"))
+    pairs = stored(enough.select("doc_id", "t1", "item_id").distinct(), "leaks")
     p, d = small(pairs).alias("p"), docs.alias("d")
     both = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.t1") == F.col("p.t1"))).select("d.doc_id", "d.t1", "item_id", "text")
     both = both.join(small(items), "item_id").select("doc_id", "t1", "item_id", "text", "item")
