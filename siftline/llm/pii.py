@@ -40,21 +40,26 @@ LETTERS = {
     "armenian": ("բգդզլխկհմնպջռստր", "աեիօաեիօաեիօաեիօ"),
 }
 
-_TITLE = "|".join((*TITLES_M, *TITLES_F, *TITLES_ANY))
+#: Titles as they stand, in capitals and in small letters, but for those that are other words or units then.
+_TITLE = "|".join(dict.fromkeys(x for t in (*TITLES_M, *TITLES_F, *TITLES_ANY) for x in (t, t.upper(), t.lower()) if x not in ("MS", "ms", "miss")))
+#: What stands before a credential.
+_LEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[=:]"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 #: What an entity of each type looks like; the first type that fits counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token)[=:])(?=[_+/-]*[A-Za-z0-9])[A-Za-z0-9_+/-]{6,}|(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9]){_LEAD}(?:(?=[_+/-]*[A-Za-z0-9])| (?=[A-Za-z_+/-]*[0-9]))[A-Za-z0-9_+/-]{{6,}}|(?<![A-Za-z0-9])[0-9a-f]{{40}}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?!(?:[0-9A-Fa-f]*:){8})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])",
     "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
 }
 #: A text without any of these holds no entity.
-_ANY = rf"[0-9@]|AKIA|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}|(?i:password|passwd|pwd|secret|token)[=:]"
+_ANY = rf"[0-9@]|AKIA|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}|{_LEAD}"
 
 
 def _combined() -> str:
@@ -143,13 +148,14 @@ def _draw(kind: Column, norm: Column, hex_: Column, key: str) -> Column:
     body = F.concat(F.substring(norm, 1, 1), _like(F.substring(norm, F.lit(2), F.length(norm) - 2), hex_))
     check = F.substring(F.lit("0987654321"), _luhn_sum(F.concat(body, F.lit("0"))) % 10 + 1, F.lit(1))
     card = F.when(_luhn_sum(norm) % 10 == 0, F.concat(body, check)).otherwise(F.concat(body, _like(F.substring(norm, -1, 1), F.substring(hex_, 65, 64))))
+    ipv6 = _chars(norm, lambda c, i: F.when(c == ":", c).otherwise(F.substring(F.lit("0123456789abcdef"), _byte(hex_, i) % 16 + 1, F.lit(1))))
     country = F.when(norm.rlike("^[17]"), 1).otherwise(2)
     phone = F.concat(F.substring(norm, F.lit(1), country), _like(F.substring(norm, country + 1, F.length(norm)), hex_))
     secret = F.when(norm.rlike("^AKIA"), F.concat(F.lit("AKIA"), _like(F.substring(norm, 5, 16), hex_))).when(norm.rlike("^[0-9a-f]+$"), _hex_like(norm, hex_)).otherwise(_like(norm, hex_))
     account = _like(F.substring(norm, F.lit(5), F.length(norm)), hex_)
     iban = F.concat(F.substring(norm, 1, 2), F.lpad((98 - _mod97(F.concat(account, F.substring(norm, 1, 2), F.lit("00")))).cast("string"), 2, "0"), account)
     iban = F.when(_mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1, iban).otherwise(F.concat(F.substring(norm, 1, 2), _like(F.substring(norm, F.lit(3), F.length(norm)), hex_)))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "ssn", _like(norm, hex_))
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "card", card).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "ssn", _like(norm, hex_))
     wide = lambda i: _byte(hex_, F.lit(i)) * 256 + _byte(hex_, F.lit(i + 1))
     for which, names in GIVEN.items():
         out = out.when(kind == f"given_{which}", _pick(names, wide(1)))
@@ -159,7 +165,10 @@ def _draw(kind: Column, norm: Column, hex_: Column, key: str) -> Column:
 
 
 def _units(raws: DataFrame) -> DataFrame:
-    """raw, type and up to two units (kind, norm) of each distinct entity."""
+    """raw, type and up to two units (kind, norm) of each distinct entity.
+
+    A person's gender is that of the title or of the given name, where these tell it; where they don't, that of the
+    other mentions of the same given name and surname, if they agree. So a person has one name under all titles."""
     kind = F.coalesce(*(F.when(F.col("raw").rlike(f"^(?:{p})$"), F.lit(t)) for t, p in PATTERNS.items()))
     raws = raws.withColumn("type", kind)
     digits = F.regexp_replace("raw", "[^0-9]", "")
@@ -167,22 +176,28 @@ def _units(raws: DataFrame) -> DataFrame:
     names = F.split(F.regexp_extract("raw", rf"^(?:{_TITLE})\.? (.*)$", 1), " ")
     script = F.coalesce(*(F.when(F.element_at(names, -1).rlike(rf"^\p{{Is{x.capitalize()}}}"), F.lit(x)) for x in LETTERS), F.lit("latin"))
     first = F.initcap(F.element_at(names, 1))
-    gender = F.when(title.isin(*TITLES_M), "m").when(title.isin(*TITLES_F), "f")
+    told = F.when(F.lower(title).isin(*(t.lower() for t in TITLES_M)), "m").when(F.lower(title).isin(*(t.lower() for t in TITLES_F)), "f")
     for g in ("m", "f"):
-        gender = gender.when(first.isin(*GIVEN[f"latin_{g}"], *GIVEN[f"cyrillic_{g}"]), g)
-    gender = gender.otherwise("u")
+        told = told.when(first.isin(*GIVEN[f"latin_{g}"], *GIVEN[f"cyrillic_{g}"]), g)
     person = F.col("type") == "person"
+    who = F.when(person & (F.size(names) > 1), F.concat_ws(" ", script, F.lower(F.element_at(names, 1)), F.lower(F.element_at(names, 2))))
+    raws = stored(raws.withColumn("who", who).withColumn("told", told), "raws")
+    agreed = raws.where("who is not null").groupBy("who").agg(F.min("told").alias("low"), F.max("told").alias("high")).where("low = high")
+    raws = raws.join(agreed.select("who", F.col("low").alias("agreed")), "who", "left")
+    gender = F.coalesce("told", "agreed", F.lit("u"))
     norm = (
         F.when(F.col("type") == "email", F.lower("raw"))
+        .when((F.col("type") == "phone") & F.col("raw").startswith("("), F.concat(F.lit("1"), digits))
         .when(F.col("type").isin("card", "phone", "ssn"), digits)
+        .when(F.col("type") == "ipv6", F.lower("raw"))
         .when(F.col("type") == "iban", F.regexp_replace("raw", " ", ""))
-        .when(F.col("type") == "secret", F.regexp_replace("raw", "^(?i:password|passwd|pwd|secret|token)[=:]", ""))
+        .when(F.col("type") == "secret", F.regexp_replace("raw", f"^{_LEAD} ?", ""))
         .when(person, F.lower(F.element_at(names, -1)))
         .otherwise(F.col("raw"))
     )
     one = F.struct(F.when(person, F.concat(F.lit("surname_"), script)).otherwise(F.col("type")).alias("kind"), norm.alias("norm"))
     two = F.when(person & (F.size(names) > 1), F.struct(F.concat(F.lit("given_"), script, F.lit("_"), gender).alias("kind"), F.lower(F.element_at(names, 1)).alias("norm")))
-    return raws.withColumn("u1", one).withColumn("u2", two)
+    return raws.select("raw", "type", one.alias("u1"), two.alias("u2"))
 
 
 #: Rounds in which surrogates have the length of their unit; each later one makes those still to draw longer by one.
@@ -190,11 +205,11 @@ ROUNDS = 12
 
 
 def _longer(kind: Column, norm: Column, by: int) -> Column:
-    """``norm`` with room for more surrogates. Cards and addresses keep their length: they have at least ten free
+    """``norm`` with room for more surrogates: an IPv6 address gets all its groups. Cards and addresses keep their length: they have at least ten free
     digits or four bytes."""
     if by <= 0:
         return norm
-    return F.when(kind.isin("phone", "ssn", "iban"), F.concat(norm, F.lit("0" * by))).when(kind == "secret", F.concat(norm, F.lit("a" * by))).when(kind == "email", F.concat(F.lit("a" * by), norm)).otherwise(norm)
+    return F.when(kind.isin("phone", "ssn", "iban"), F.concat(norm, F.lit("0" * by))).when(kind == "secret", F.concat(norm, F.lit("a" * by))).when(kind == "email", F.concat(F.lit("a" * by), norm)).when(kind == "ipv6", F.lit("0000:" * 7 + "0000")).otherwise(norm)
 
 
 #: Documents with entities that are broadcast at most: their replacements are some 200 bytes each.
@@ -234,7 +249,9 @@ def _cased(value: Column, like: Column) -> Column:
 
 def _render(raws: DataFrame) -> DataFrame:
     """raw, type and its replacement, from the surrogates s1 and s2 of its units."""
-    raw, s1, s2 = F.col("raw"), F.col("s1"), F.col("s2")
+    # A phone number without its country code is a unit with it.
+    national = (F.col("type") == "phone") & F.col("raw").startswith("(")
+    raw, s1, s2 = F.col("raw"), F.when(national, F.substring("s1", 2, 1 << 20)).otherwise(F.col("s1")), F.col("s2")
 
     def digits(pattern: str) -> Column:
         def put(c: Column, i: Column) -> Column:
@@ -244,8 +261,8 @@ def _render(raws: DataFrame) -> DataFrame:
         return F.concat(_chars(raw, put), more)
 
     person = F.concat(F.regexp_extract(raw, rf"^((?:{_TITLE})\.? )", 1), F.when(s2.isNotNull(), F.concat(_cased(s2, F.regexp_extract(raw, r" (\S+) \S+$", 1)), F.lit(" "))).otherwise(""), _cased(s1, F.regexp_extract(raw, r"(\S+)$", 1)))
-    secret = F.concat(F.regexp_extract(raw, "^((?i:password|passwd|pwd|secret|token)[=:])", 1), s1)
-    to = F.when(F.col("type") == "person", person).when(F.col("type").isin("card", "phone", "ssn"), digits("0-9")).when(F.col("type") == "iban", digits("0-9A-Z")).when(F.col("type") == "secret", secret).when(F.col("type") == "email", _cased(s1, raw)).otherwise(s1)
+    secret = F.concat(F.regexp_extract(raw, f"^({_LEAD} ?)", 1), s1)
+    to = F.when(F.col("type") == "person", person).when(F.col("type").isin("card", "phone", "ssn"), digits("0-9")).when(F.col("type") == "iban", digits("0-9A-Z")).when(F.col("type") == "secret", secret).when(F.col("type").isin("email", "ipv6"), _cased(s1, raw)).otherwise(s1)
     return raws.select("raw", "type", to.alias("to"))
 
 
@@ -254,8 +271,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     place), text with their surrogates. Rows without entities have 0, no types and their text as it is.
 
     key: a secret; the same key and the same distinct units give the same surrogates. Mentions of a unit in
-    another format (a phone number with other separators, a surname without the given name) get the same
-    surrogate in theirs. Names keep their script (Latin, Cyrillic, Greek or Armenian; others get Latin ones); domains of
+    another format (a phone number with other separators or without +1, a surname without the given name, a person
+    under other titles) get the same surrogate in theirs; an IPv6 address written in two ways is two units. Names keep their script (Latin, Cyrillic, Greek or Armenian; others get Latin ones); domains of
     addresses keep their last label and stay common. Bank account and card numbers
     that are valid stay so. Null and empty texts hold nothing. doc_id may be null;
     rows may repeat; other columns are ignored; an empty table gives no rows."""
