@@ -82,6 +82,13 @@ def disk_fields(line: Column) -> dict[str, Column]:
     return {"device": F.try_element_at(f, F.lit(3)), "read_sectors": number(6), "written_sectors": number(10), "busy_ms": number(13)}
 
 
+def own_bytes(text: Column) -> Column:
+    """Bytes that reached the disk, read and written, in a process's table of counters (a name, a colon and a number a line). The first
+    line of a name that has a number counts; names that are missing count as 0."""
+    one = lambda name: F.coalesce(F.regexp_extract(text, rf"(?m)^{name}:[ \t]*\+?([0-9]+)[ \t\r]*$", 1).try_cast("bigint"), F.lit(0))
+    return one("read_bytes") + one("write_bytes")
+
+
 def control_word(line: Column) -> Column:
     """The command of a control line; null for what is none."""
     word = F.lower(F.regexp_replace(line, r"^\s+|\s+\z", ""))

@@ -24,6 +24,10 @@ def size_peers(files: DataFrame) -> DataFrame:
     return files.where(live()).join(sizes, ["domain_id", "size"], "left_semi")
 
 
+#: Columns in which candidates agree, by the scope of sharing.
+SCOPES = {"owner": ("domain_id", "size", "owner_uid"), "share": ("domain_id", "size", "root_id"), "domain": ("domain_id", "size")}
+
+
 def candidates(files: DataFrame, settled_before_ns: int, limit: int, same: tuple[str, ...] = ("domain_id", "size")) -> DataFrame:
     """For each settled file its first ``limit`` candidates by age."""
     me = files.where("state in ('sized', 'distinct')").select(*same, F.col("id").alias("me"))

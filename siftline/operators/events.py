@@ -50,6 +50,21 @@ def load_deltas(samples: DataFrame) -> DataFrame:
     return samples.select("dev", "ts_ms", F.when(dt > 0, util).alias("util"), F.greatest(F.col("sectors") - F.lag("sectors").over(w), F.lit(0)).alias("sectors"))
 
 
+def load_of_others(samples: DataFrame) -> DataFrame:
+    """util and util_other between consecutive samples (dev, ts_ms, ticks, sectors, own_bytes): how busy the disk was, and what of it others
+    made. The own share is own bytes against 512 for each sector. Counters that fall (wrapped, or a disk that came back) count as no
+    progress, shares lie from 0 to 1, a disk without traffic has no own share; the first sample and those without time between have none.
+    Own bytes that are not known count as none, so that work rather rests too often."""
+    w = Window.partitionBy("dev").orderBy("ts_ms")
+    grown = lambda c: F.greatest(c - F.lag(c).over(w), F.lit(0))
+    between = samples.select(
+        "dev", "ts_ms", (F.col("ts_ms") - F.lag("ts_ms").over(w)).alias("ms"), grown(F.col("ticks")).alias("ticks"), (grown(F.col("sectors")) * 512).alias("device"), grown(F.coalesce("own_bytes", F.lit(0))).alias("own")
+    )
+    util = F.when(F.col("ms") > 0, F.least(F.lit(1.0), F.col("ticks") / F.col("ms")))
+    share = F.when(F.col("device") > 0, F.least(F.lit(1.0), F.col("own") / F.col("device"))).otherwise(0.0)
+    return between.select("dev", "ts_ms", util.alias("util"), (util * (1 - share)).alias("util_other"))
+
+
 def hysteresis(samples: DataFrame, busy: float, busy_ms: int, idle: float, idle_ms: int) -> DataFrame:
     """Whether work is paused after each sample (dev, ts_ms, load): paused by a run of busy samples that lasts busy_ms,
     resumed by a run of idle ones that lasts idle_ms; a sample to the contrary breaks a run.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import first_difference
 from ..functions.scalars import backoff_ms, div, has_special_mode
 from ..schema import DAY
 
@@ -90,3 +91,21 @@ def explain_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
         .otherwise("same")
     )
     return both.select("a", "b", why.alias("verdict"))
+
+
+def pair_reasons(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """All that can be said of two files (a, b), in the order of the checks: a_reason and b_reason (of the filter), same_size, and, if so, a_magic,
+    b_magic and same_hash, and, if so, first_diff (the first byte that differs; null if none), then the verdict.
+
+    Filter and magic end nothing, so that all reasons are known; a pair of equal bytes is "ignored" if one of them holds, else
+    "same". files: id, reason, size, magic (match, mismatch, unchecked), hash, content."""
+    names = ("id", "reason", "size", "magic", "hash", "content")
+    side = lambda p: files.select(*(F.col(c).alias(p if c == "id" else f"{p}_{c}") for c in names))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    size = F.coalesce(F.col("a_size") == F.col("b_size"), F.lit(False))
+    hash_ = F.when(size, F.coalesce(F.col("a_hash") == F.col("b_hash"), F.lit(False)))
+    diff = F.when(hash_ & (F.col("a_content") != F.col("b_content")), first_difference(F.col("a_content"), F.col("b_content")).cast("long"))
+    rest = F.col("a_reason").isNotNull() | F.col("b_reason").isNotNull() | (F.col("a_magic") == "mismatch") | (F.col("b_magic") == "mismatch")
+    out = both.select("a", "b", "a_reason", "b_reason", size.alias("same_size"), *(F.when(size, F.col(c)).alias(c) for c in ("a_magic", "b_magic")), hash_.alias("same_hash"), diff.alias("first_diff"), rest.alias("rest"))
+    verdict = F.when(~F.col("same_size"), "other_size").when(~F.col("same_hash"), "other_hash").when(F.col("first_diff").isNotNull(), "other_bytes").when(F.coalesce("rest", F.lit(False)), "ignored").otherwise("same")
+    return out.withColumn("verdict", verdict).drop("rest")

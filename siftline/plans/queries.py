@@ -621,4 +621,4 @@ def dup_report(spark: SparkSession, d: str) -> DataFrame:
 
 assert set(IN_GROUP) <= set(STATES)
 
-from . import changes, content, guarded, upkeep  # noqa: E402, F401  register their queries here
+from . import changes, content, guarded, places, upkeep  # noqa: E402, F401  register their queries here
