@@ -170,32 +170,36 @@ class SentencePieceChunks(_Table):
     def _library(self, parts: list[str]) -> list[bytes]:
         return [_packed(ids) for ids in self.library.encode(parts, num_threads=1)]
 
+    def cut(self, text: str) -> list[str] | None:
+        """The chunks of a text, of which the library's ids stand one after the other; None for what is encoded whole. The library puts
+        the marker of a chunk before it; an empty chunk is a lone marker at the end of a text (``lone``)."""
+        if not self.by_chunk or self.MARK in text or not text:
+            return None
+        parts = text.split(" ")
+        if "" in parts:  # runs of spaces: the markers of a run belong to the word behind it
+            joined, run = [], 0
+            for p in parts[:-1]:
+                if p:
+                    joined.append(" " * run + p)
+                    run = 0
+                else:
+                    run += 1
+            parts = [*joined, " " * run + parts[-1]]
+        return parts
+
+    def lone(self) -> bytes:
+        return _packed([self.library.piece_to_id(self.MARK)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._library(texts)
         self._turn()
-        cut = []
-        for t in texts:
-            if self.MARK in t or not t:
-                cut.append(None)
-                continue
-            parts = t.split(" ")
-            if "" in parts:  # runs of spaces: the markers of a run belong to the word behind it
-                joined, run = [], 0
-                for p in parts[:-1]:
-                    if p:
-                        joined.append(" " * run + p)
-                        run = 0
-                    else:
-                        run += 1
-                parts = [*joined, " " * run + parts[-1]]
-            cut.append(parts)
+        cut = [self.cut(t) for t in texts]
         new = self._recalled(set().union(*(c for c in cut if c)).difference(self.chunks))
-        # The library puts the marker of a chunk before it. An empty chunk is a lone marker at the end of a text.
         alone = [c for c in new if not c]
         self.chunks.update(zip([c for c in new if c], self._library([c for c in new if c]), strict=True))
         for c in alone:
-            self.chunks[c] = _packed([self.library.piece_to_id(self.MARK)])
+            self.chunks[c] = self.lone()
         get = self.chunks.__getitem__
         whole = iter(self._library([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
