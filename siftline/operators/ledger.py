@@ -52,13 +52,13 @@ def page(groups: DataFrame, after: tuple[int, int] | None, size: int = 50, most:
 
 
 def retries(events: DataFrame, now: int, wait_ms: int = 1000, most: int = 5, room: int = 10_000) -> DataFrame:
-    """seq and what becomes of each event that failed for now (root_id, attempts, failed_at): again, later, or rescan (tried too
-    often, or beyond the room of its root's queue, first come first served). Each task keeps the first of a root before they are shuffled, so that a root
+    """seq and what becomes of each event that failed for now (root_id, attempts, failed_at): again, later, given_up (tried too often; a later
+    scan finds it), or rescan (beyond the room of its root's queue, first come first served). Each task keeps the first of a root before they are shuffled, so that a root
     with very many events does not meet in one."""
     tried = F.col("attempts") >= most
     place = F.row_number().over(Window.partitionBy("root_id").orderBy("failed_at", "seq"))
     kept = events.where(~tried).select("root_id", "failed_at", "seq").withColumn("place", place).where(F.col("place") <= room).select("seq", F.lit(True).alias("kept"))
-    to = F.when(tried | F.col("kept").isNull(), "rescan").when(F.col("failed_at") + wait_ms <= now, "again").otherwise("later")
+    to = F.when(tried, "given_up").when(F.col("kept").isNull(), "rescan").when(F.col("failed_at") + wait_ms <= now, "again").otherwise("later")
     return events.join(kept, "seq", "left").select("seq", to.alias("action"))
 
 

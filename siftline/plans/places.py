@@ -10,6 +10,7 @@ from ..operators import dedupe as D
 from ..operators import events as E
 from ..operators import filters as P
 from ..operators import places as L
+from ..operators import retry as R
 from ..operators import status as T
 from ..operators import steps
 from ..schema import EXCLUDED, QUEUED, STATES
@@ -147,3 +148,21 @@ def pair_reasons(spark, d):
     a, b = f.select(F.col("id").alias("a"), "size"), f.select(F.col("id").alias("b"), "size")
     next_to = a.join(b, F.col("b") == F.col("a") + 1).select("a", "b")
     return steps.pair_reasons(next_to.union(a.join(b, "size").where("a < b").select("a", "b")).distinct(), f)
+
+
+# One step of the queue of events that are tried again: a third of the catalog waits, a third has failed since.
+
+_LATE = f"{NOW} + id % 7 * 500 - 1500"
+
+
+@query(
+    f"""SELECT id AS seq, attempts, {_LATE} AS not_before, CASE WHEN {_LATE} <= {NOW} THEN 'again' ELSE 'waits' END AS action FROM c WHERE id % 3 = 0
+UNION ALL SELECT seq, CASE action WHEN 'waits' THEN attempts + 1 ELSE attempts END, CASE action WHEN 'waits' THEN failed_at + 1000 END, action FROM (SELECT *, CASE WHEN attempts >= 5 THEN 'given_up' WHEN place <= 100 - (SELECT count(*) FROM c WHERE id % 3 = 0 AND {_LATE} > {NOW}) THEN 'waits' ELSE 'rescan' END AS action
+  FROM (SELECT id AS seq, attempts, {NOW} - id AS failed_at, row_number() OVER (PARTITION BY attempts >= 5 ORDER BY id) AS place FROM c WHERE id % 3 = 1))"""
+)
+def retry_step(spark, d):
+    f = _files(spark, d)
+    event = ["id AS seq", "CAST(root_id AS BIGINT) AS root_id", "rel_path AS path", "attempts"]
+    waiting = f.where("id % 3 = 0").selectExpr(*event, f"{_LATE} AS not_before")
+    failed = f.where("id % 3 = 1").selectExpr(*event, f"{NOW} - id AS failed_at")
+    return R.step(waiting, failed, NOW, room=100).select("seq", "attempts", "not_before", "action")

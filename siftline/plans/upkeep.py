@@ -254,7 +254,7 @@ def group_page(spark, d):
     return L.page(_files(spark, d).select(F.col("id").alias("group_id"), (F.col("size") % 50).alias("reclaimable")), (30, 500), 20)
 
 
-@query(f"SELECT seq, CASE WHEN tried OR place > 100 THEN 'rescan' WHEN failed_at + 1000 <= {NOW} THEN 'again' ELSE 'later' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY tried, failed_at, seq) AS place FROM (SELECT id AS seq, root_id, attempts >= 5 AS tried, {NOW} - id * 10 AS failed_at FROM c))")
+@query(f"SELECT seq, CASE WHEN tried THEN 'given_up' WHEN place > 100 THEN 'rescan' WHEN failed_at + 1000 <= {NOW} THEN 'again' ELSE 'later' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY tried, failed_at, seq) AS place FROM (SELECT id AS seq, root_id, attempts >= 5 AS tried, {NOW} - id * 10 AS failed_at FROM c))")
 def retry_queue(spark, d):
     f = _files(spark, d).select(F.col("id").alias("seq"), "root_id", "attempts", (F.lit(NOW) - F.col("id") * 10).alias("failed_at"))
     return L.retries(f, NOW, room=100)
