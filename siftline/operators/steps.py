@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import first_difference
+from ..functions.hashing import first_different_byte
 from ..functions.scalars import backoff_ms, div, has_special_mode
 from ..schema import DAY
+from ..session import small, stored
 
 KEY = ("domain_id", "size", "hash")
+#: Bytes of a content that a pair carries, bytes of the range behind them that is compared first, and files of one size that meet in one task.
+HEAD, FIRST_RANGE, TOGETHER = 64, 1024, 512
 
 
 def dispatch(state: Column) -> Column:
@@ -75,19 +78,52 @@ def next_groups(groups: DataFrame) -> DataFrame:
     return groups.select("group_id", F.lead("group_id").over(w).alias("next_group"))
 
 
+def narrow(files: DataFrame) -> DataFrame:
+    """``files`` with the SHA-256 of the content as it is now and its first HEAD bytes in place of the content: what a pair carries of it."""
+    content = F.col("content").cast("binary")
+    return files.withColumn("digest", F.unhex(F.sha2(content, 256))).withColumn("head", F.substring(content, 1, HEAD)).drop("content")
+
+
+def _side(files: DataFrame, p: str) -> DataFrame:
+    return files.select(*(F.col(c).alias(p if c == "id" else f"{p}_{c}") for c in files.columns))
+
+
+def _joined(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    files = narrow(files)
+    return pairs.join(_side(files, "a"), "a").join(_side(files, "b"), "b")
+
+
+def peers(files: DataFrame) -> DataFrame:
+    """The pairs of neighbours (b = a + 1) and of files of one size (a < b), with the columns of ``narrow`` of both, a_ and b_.
+
+    The files meet by size, so that no pair is shuffled; a size that more than TOGETHER files have is dealt out: each
+    file comes once as b, and as a to each share of the others."""
+    files = narrow(files)
+    shares = files.where("size is not null").groupBy("size").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("shares")).where("shares > 1")
+    dealt = files.join(small(stored(shares, "sizes")), "size", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    a = _side(dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares"), "a")
+    b = _side(dealt.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).drop("shares"), "b")
+    equal = a.join(b, (F.col("a_size") == F.col("b_size")) & (F.col("a_share") == F.col("b_share")) & (F.col("a") < F.col("b"))).drop("a_share", "b_share")
+    other = ~F.coalesce(F.col("a_size") == F.col("b_size"), F.lit(False))
+    return _side(files, "a").join(_side(files, "b"), (F.col("b") == F.col("a") + 1) & other).unionByName(equal)
+
+
 def explain_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """Why two files (a, b) are shared or not: the first check that fails, in the order in which they are made.
 
     files: id, reason (of the filter), domain_id, size, magic, hash, content."""
-    side = lambda p: files.select(*(F.col(c).alias(c if c == "id" else f"{p}_{c}") for c in ("id", "reason", "domain_id", "size", "magic", "hash", "content"))).withColumnRenamed("id", p)
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return explained(_joined(pairs, files))
+
+
+def explained(both: DataFrame) -> DataFrame:
+    """``explain_pairs`` of pairs that have the columns of both files (as ``peers``)."""
     why = (
         F.when(F.col("a_reason").isNotNull() | F.col("b_reason").isNotNull(), "filtered")
         .when(F.col("a_domain_id") != F.col("b_domain_id"), "other_domain")
         .when(F.col("a_size") != F.col("b_size"), "other_size")
         .when((F.col("a_magic") == "mismatch") | (F.col("b_magic") == "mismatch"), "bad_magic")
         .when(F.col("a_hash") != F.col("b_hash"), "other_hash")
-        .when(F.col("a_content") != F.col("b_content"), "other_bytes")
+        .when(F.col("a_digest") != F.col("b_digest"), "other_bytes")
         .otherwise("same")
     )
     return both.select("a", "b", why.alias("verdict"))
@@ -99,13 +135,44 @@ def pair_reasons(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
     Filter and magic end nothing, so that all reasons are known; a pair of equal bytes is "ignored" if one of them holds, else
     "same". files: id, reason, size, magic (match, mismatch, unchecked), hash, content."""
-    names = ("id", "reason", "size", "magic", "hash", "content")
-    side = lambda p: files.select(*(F.col(c).alias(p if c == "id" else f"{p}_{c}") for c in names))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return all_reasons(_joined(pairs, files), files)
+
+
+def all_reasons(both: DataFrame, files: DataFrame) -> DataFrame:
+    """``pair_reasons`` of pairs that have the columns of both of ``files`` (as ``peers``). Most differ within their first bytes;
+    of the others each two contents are compared once."""
     size = F.coalesce(F.col("a_size") == F.col("b_size"), F.lit(False))
     hash_ = F.when(size, F.coalesce(F.col("a_hash") == F.col("b_hash"), F.lit(False)))
-    diff = F.when(hash_ & (F.col("a_content") != F.col("b_content")), first_difference(F.col("a_content"), F.col("b_content")).cast("long"))
-    rest = F.col("a_reason").isNotNull() | F.col("b_reason").isNotNull() | (F.col("a_magic") == "mismatch") | (F.col("b_magic") == "mismatch")
-    out = both.select("a", "b", "a_reason", "b_reason", size.alias("same_size"), *(F.when(size, F.col(c)).alias(c) for c in ("a_magic", "b_magic")), hash_.alias("same_hash"), diff.alias("first_diff"), rest.alias("rest"))
-    verdict = F.when(~F.col("same_size"), "other_size").when(~F.col("same_hash"), "other_hash").when(F.col("first_diff").isNotNull(), "other_bytes").when(F.coalesce("rest", F.lit(False)), "ignored").otherwise("same")
-    return out.withColumn("verdict", verdict).drop("rest")
+    differ = F.coalesce(hash_ & (F.col("a_digest") != F.col("b_digest")), F.lit(False))
+    later = differ & (F.col("a_head") == F.col("b_head"))
+    diff = F.when(differ, first_different_byte(F.col("a_head"), F.col("b_head")).cast("long"))
+    ignored = F.col("a_reason").isNotNull() | F.col("b_reason").isNotNull() | (F.col("a_magic") == "mismatch") | (F.col("b_magic") == "mismatch")
+    verdict = F.when(~size, "other_size").when(~hash_, "other_hash").when(differ, "other_bytes").when(F.coalesce(ignored, F.lit(False)), "ignored").otherwise("same")
+    head = ("a", "b", "a_reason", "b_reason", size.alias("same_size"), *(F.when(size, F.col(c)).alias(c) for c in ("a_magic", "b_magic")), hash_.alias("same_hash"))
+    known = both.where(~later).select(*head, diff.alias("first_diff"), verdict.alias("verdict"))
+    rest = stored(both.where(later).select(*head, verdict.alias("verdict"), "a_digest", "b_digest"), "equal-heads")
+    if rest.isEmpty():
+        return known
+    at = _first_differences(rest.select("a_digest", "b_digest").distinct(), files)
+    return known.unionByName(rest.join(small(at), ["a_digest", "b_digest"], "left").drop("a_digest", "b_digest"))
+
+
+def _first_differences(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """pairs (a_digest, b_digest) of contents with equal heads, with first_diff. Ranges of bytes are compared, each
+    longer than the one before; a pair that differs is read no further."""
+    open_ = stored(pairs, "pairs")
+    wanted = stored(open_.select(F.explode(F.array("a_digest", "b_digest")).alias("digest")).distinct(), "wanted")
+    content = F.col("content").cast("binary")
+    texts = files.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content")).join(small(wanted), "digest", "left_semi")
+    texts = stored(texts.groupBy("digest").agg(F.any_value("content").alias("content")), "contents")
+    done, begin, width = None, HEAD, FIRST_RANGE
+    while not open_.isEmpty():
+        part = texts.select("digest", F.substring("content", begin + 1, width).alias("part"))
+        found = open_.join(_side(part, "a"), "a_digest").join(_side(part, "b"), "b_digest")
+        at = first_different_byte(F.col("a_part"), F.col("b_part")).cast("long") + begin
+        found = stored(found.select("a_digest", "b_digest", at.alias("first_diff")), "compared")
+        now = found.where("first_diff is not null")
+        done = now if done is None else done.union(now)
+        open_ = found.where("first_diff is null").select("a_digest", "b_digest")
+        begin, width = begin + width, 8 * width
+    return done

@@ -145,9 +145,7 @@ def pair_reasons(spark, d):
     reason = F.when(F.col("id") % 2 == 0, P.reject_reason(F.col("rel_path"), F.col("size"), EXCLUDED, MIN_SIZE))
     magic = F.when(F.col("id") % 13 == 0, "mismatch").when(F.col("id") % 13 == 1, "unchecked").otherwise("match")
     f = f.select("id", reason.alias("reason"), "size", magic.alias("magic"), F.substring(H.full_hash(F.col("content")), 1, 1).alias("hash"), "content")
-    a, b = f.select(F.col("id").alias("a"), "size"), f.select(F.col("id").alias("b"), "size")
-    next_to = a.join(b, F.col("b") == F.col("a") + 1).select("a", "b")
-    return steps.pair_reasons(next_to.union(a.join(b, "size").where("a < b").select("a", "b")).distinct(), f)
+    return steps.all_reasons(steps.peers(f), f)
 
 
 # One step of the queue of events that are tried again: a third of the catalog waits, a third has failed since.

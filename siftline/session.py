@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -35,3 +36,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/siftline/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if a count of at most ``limit`` + 1 rows shows that it is small."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -119,3 +119,23 @@ def test_all_reasons_of_a_pair(spark):
     # Sizes end the checks, but what the filter says is shown.
     assert (got[5].verdict, got[5].b_reason, got[5].b_magic, got[5].same_hash) == ("other_size", "too_small", None, None)
     assert got[6].verdict == "same" and got[7].verdict == "other_size"
+
+
+def test_pairs_carry_no_contents(spark, monkeypatch):
+    monkeypatch.setattr(steps, "TOGETHER", 3)
+    base = "x" * 6000
+    texts = [base, base, base[:70] + "y" + base[71:], base[:5000] + "y" + base[5001:], "z" + base[1:], "é" + base[2:], "short", "shore", None, ""]
+    rows = [(2 * i, None, "d", None if t is None else len(t.encode()), "match", "h", t) for i, t in enumerate(texts)]
+    f = spark.createDataFrame([*rows, (1, None, "d", 7, "match", "h", "seventh")], "id long, reason string, domain_id string, size long, magic string, hash string, content string")
+    assert "content" not in steps.peers(f).columns
+    pairs = {(a.id, b.id) for a in f.collect() for b in f.collect() if b.id == a.id + 1 or (a.size == b.size and a.size is not None and a.id < b.id)}
+    of = {r.id: r for r in f.collect()}
+    got = {(r.a, r.b): r for r in steps.all_reasons(steps.peers(f), f).collect()}
+    assert got.keys() == pairs and len(pairs) == 18
+    for (a, b), r in got.items():
+        x, y = of[a].content, of[b].content
+        same = x is not None and y is not None and len(x.encode()) == len(y.encode())
+        want = next((i for i, (p, q) in enumerate(zip(x.encode(), y.encode())) if p != q), None) if same else None
+        assert (r.first_diff, r.verdict) == (want, "other_size" if not same else "same" if x == y else "other_bytes"), (a, b)
+    verdicts = {(r.a, r.b): r.verdict for r in steps.explained(steps.peers(f)).collect()}
+    assert verdicts[0, 2] == "same" and verdicts[0, 6] == "other_bytes" and verdicts[0, 1] == "other_size" and verdicts.keys() == pairs
