@@ -165,9 +165,7 @@ def pair_explain(spark, d):
     reason = F.when(F.col("id") % 2 == 0, P.reject_reason(F.col("rel_path"), F.col("size"), EXCLUDED, MIN_SIZE))
     # One digit of the hash, so that pairs of equal hash and other bytes are among them.
     f = f.select("id", reason.alias("reason"), "domain_id", "size", F.when(F.col("id") % 13 == 0, "mismatch").otherwise("match").alias("magic"), F.substring(H.full_hash(F.col("content")), 1, 1).alias("hash"), "content")
-    a, b = f.select(F.col("id").alias("a"), "size"), f.select(F.col("id").alias("b"), "size")
-    next_to = a.join(b, F.col("b") == F.col("a") + 1).select("a", "b")
-    return T.explain_pairs(next_to.union(a.join(b, "size").where("a < b").select("a", "b")).distinct(), f)
+    return T.explained(T.peers(f))
 
 
 # Guards
