@@ -1,7 +1,7 @@
 import random
 
 from pyspark.sql import functions as F
-from siftline.llm.linking import link
+from siftline.llm.linking import KNOWN, _made, link, unlike
 
 
 def linked(spark, at, buckets, most):
@@ -54,3 +54,27 @@ def test_rare_links_are_found_after_the_rounds(spark):
     buckets = [list(range(250)), list(range(200, 400)), [5, 390], [399]]
     got, _ = linked(spark, at, buckets, 30)
     assert got == alone(at, buckets, 30) and len(got) > 50
+
+
+def test_pairs_that_share_many_buckets_are_made_once(spark):
+    """30 nodes in six buckets each of which has one node of its own, so that all others meet six times."""
+    rows = [(b, n, 31, (n,), n) for b in range(6) for n in [*range(30), 100 + b]]
+    assert len({r[0] for r in rows}) <= KNOWN
+    members = spark.createDataFrame(rows, "bucket long, node long, size long, at struct<p:long>, component long")
+    made = _made(members, members, lambda x, y: F.lit(True))
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30)} | {(n, 100 + b) for n in range(30) for b in range(6)}
+    assert sorted((r.a, r.b) for r in made.collect()) == sorted(want)
+
+
+def test_pairs_beyond_the_known_buckets_are_not_lost(spark):
+    rnd = random.Random(7)
+    buckets = [sorted(rnd.sample(range(40), rnd.randrange(2, 6))) for _ in range(20 * KNOWN)]
+    members = spark.createDataFrame([(b, n, len(nodes), (n,), n) for b, nodes in enumerate(buckets) for n in nodes], "bucket long, node long, size long, at struct<p:long>, component long")
+    want = {(a, b) for nodes in buckets for a in nodes for b in nodes if a < b}
+    assert {(r.a, r.b) for r in _made(members, members, lambda x, y: F.lit(True)).collect()} == want
+
+
+def test_one_bucket_of_those_with_the_same_nodes(spark):
+    buckets = {1: [1, 2, 3], 2: [3, 2, 1], 3: [1, 2], 4: [1, 2, 4], 5: [7], 6: [2, 1]}
+    rows = unlike(spark.createDataFrame([(b, n) for b, nodes in buckets.items() for n in nodes], "bucket long, node long")).collect()
+    assert sorted((r.bucket, r.node, r.size) for r in rows) == [(1, 1, 3), (1, 2, 3), (1, 3, 3), (3, 1, 2), (3, 2, 2), (4, 1, 3), (4, 2, 3), (4, 4, 3)]
