@@ -78,3 +78,9 @@ def test_one_bucket_of_those_with_the_same_nodes(spark):
     buckets = {1: [1, 2, 3], 2: [3, 2, 1], 3: [1, 2], 4: [1, 2, 4], 5: [7], 6: [2, 1]}
     rows = unlike(spark.createDataFrame([(b, n) for b, nodes in buckets.items() for n in nodes], "bucket long, node long")).collect()
     assert sorted((r.bucket, r.node, r.size) for r in rows) == [(1, 1, 3), (1, 2, 3), (1, 3, 3), (3, 1, 2), (3, 2, 2), (4, 1, 3), (4, 2, 3), (4, 4, 3)]
+
+
+def test_pairs_are_the_same_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("siftline.llm.linking.SENT", 0)
+    test_pairs_that_share_many_buckets_are_made_once(spark)
+    test_pairs_beyond_the_known_buckets_are_not_lost(spark)
